@@ -7,6 +7,7 @@ The expected grade and the tail probabilities serve for selection.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,8 +22,10 @@ from .common import slices, text_bytes
 BITS = 18
 #: Labelled documents of each grade that the model is fitted on, the first by a hash of the id.
 SAMPLE = 4000
-#: A feature counts if its rate in two grades differs by so many standard errors.
-LEAST_Z = 4.0
+#: A feature counts if its rate in a lower grade is higher by so many standard errors.
+LEAST_Z = 8.0
+#: Least probability of the top grade for a document that is kept.
+KEEP = 0.6
 #: Words whose weights a worker remembers.
 MEMORY = 500_000
 
@@ -36,10 +39,21 @@ def word_features(word: bytes) -> tuple[int, ...]:
     return tuple({digest(lower, 1) & most, digest(lower[:4], 2) & most, digest(lower[:6], 3) & most, digest(shape, 4) & most})
 
 
+def form_features(words: list[bytes]) -> tuple[int, ...]:
+    """How many tenths of the words, if any, repeat the one before; and how few tenths of 20 or more words are distinct, under five."""
+    if len(words) < 2:
+        return ()
+    again = 10 * sum(map(operator.eq, words, words[1:])) // len(words)
+    distinct = 10 * len(set(words)) // len(words) if len(words) >= 20 else 9
+    digest, most = xxhash.xxh32_intdigest, (1 << BITS) - 1
+    return tuple([digest(b"%d" % k, 5) & most for k in range(1, again + 1)] + [digest(b"%d" % k, 6) & most for k in range(distinct, 5)])
+
+
 def text_features(text: bytes) -> np.ndarray:
-    """The distinct features of a text's words, and two of its form."""
-    found: set[int] = set()
-    for w in set(text.split()):
+    """The distinct features of a text: of its words, and of its form."""
+    words = text.split()
+    found = set(form_features(words))
+    for w in set(words):
         found.update(word_features(w))
     return np.array(sorted(found), np.int32)
 
@@ -61,12 +75,14 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(scores[:, None] - self.thresholds[None, :], -40, 40)))
 
 
-def fit_ordinal(features: list[np.ndarray], grades: np.ndarray, steps: int = 300, ridge: float = 0.02, rate: float = 0.1) -> OrdinalModel:
+def fit_ordinal(features: list[np.ndarray], grades: np.ndarray, steps: int = 300, ridge: float = 0.3, rate: float = 0.1) -> OrdinalModel:
     """Penalized maximum likelihood by full-batch Adam; every grade weighs the same.
 
-    Features count that tell two neighbouring grades apart by ``LEAST_Z``
-    standard errors; all others have weight zero.  Raises ValueError if fewer
-    than two grades have examples.
+    Features count that are more frequent in a lower grade by ``LEAST_Z``
+    standard errors; all others have weight zero.  Weights are at most zero: a
+    text's features can speak against it, but more words don't speak for it,
+    so scores don't grow with the length.  Raises ValueError if fewer than two
+    grades have examples.
     """
     levels = int(grades.max()) + 1 if len(grades) else 0
     if len(np.unique(grades)) < 2:
@@ -80,7 +96,7 @@ def fit_ordinal(features: list[np.ndarray], grades: np.ndarray, steps: int = 300
         for b in range(a):
             p = (counts[a] + counts[b]) / (n[a] + n[b])
             se = np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n[a] + 1 / n[b]))
-            keep |= (np.abs(counts[a] / n[a] - counts[b] / n[b]) > LEAST_Z * se) & (counts[a] + counts[b] >= 5)
+            keep |= (counts[b] / n[b] - counts[a] / n[a] > LEAST_Z * se) & (counts[a] + counts[b] >= 5)
     kept = [f[keep[f]] for f in features]
     flat = np.concatenate(kept).astype(np.int64) if kept else np.empty(0, np.int64)
     owner = np.repeat(np.arange(len(kept)), [len(k) for k in kept])
@@ -111,6 +127,7 @@ def fit_ordinal(features: list[np.ndarray], grades: np.ndarray, steps: int = 300
             second += 0.001 * g * g
             x -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
         w[~keep] = 0
+        np.minimum(w, 0, out=w)
     return OrdinalModel(w, t[0] + np.concatenate([[0.0], np.cumsum(np.exp(t[1:]))]))
 
 
@@ -149,8 +166,9 @@ def _scorer(model: OrdinalModel):
     def score(texts: list[bytes]) -> np.ndarray:
         out = np.zeros(len(texts))
         for i, text in enumerate(texts):
-            found: set[int] = set()
-            for w in set(text.split()):
+            words = text.split()
+            found = {f for f in form_features(words) if nonzero[f]}
+            for w in set(words):
                 got = memory.get(w)
                 if got is None:
                     got = tuple(f for f in word_features(w) if nonzero[f])
@@ -191,7 +209,7 @@ def score_documents(df: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
     return out.withColumnRenamed("id", id_col)
 
 
-def keep_good(df: DataFrame, model: OrdinalModel, text_col: str = "text", least: float = 0.5) -> DataFrame:
+def keep_good(df: DataFrame, model: OrdinalModel, text_col: str = "text", least: float = KEEP) -> DataFrame:
     """The rows of ``df``, with all columns, whose probability of the top grade is ``least`` or more.
 
     A null or empty text has the score 0, like one of unknown words only.

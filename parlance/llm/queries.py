@@ -54,7 +54,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
-    return scored.withColumn("kept", scored.p_above_1 >= 0.5)
+    return scored.withColumn("kept", scored.p_above_1 >= quality.KEEP)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
