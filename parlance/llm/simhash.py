@@ -31,6 +31,8 @@ from .shingles import fingerprints, pack_bits, shingle_hashes, votes, words
 SHARD = 512
 #: For groups by similarity: variants of the hashes (64 votes each), rotations of the votes, and the radius in 64 bits.
 VARIANTS, TABLES, RADIUS = 4, 16, 20
+#: Documents that are broadcast by their keys, 8 bytes each, to find their texts; more are joined by shuffle.
+MOST_BROADCAST = 1_000_000
 #: Documents that one task compares with a hub.
 FAN = 512
 
@@ -284,7 +286,10 @@ def near_duplicate_groups(df: DataFrame, scratch: Scratch, id_col: str = "doc_id
     dealt = scratch.table(turned.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / FAN)).cast("int")).select("hub", "part", "node"))
     wanted = dealt.select("hub", "part", "node", F.lit(1).alias("member")).unionAll(dealt.select("hub", "part").distinct().select("hub", "part", F.col("hub").alias("node"), F.lit(0).alias("member")))
     named = wanted.join(nodes.select("node", F.col("first").alias("doc")), "node")
-    compared = named.join(docs, "doc")
+    named = scratch.table(named)
+    wanted = named.select("doc").distinct()
+    texts = docs.join(F.broadcast(wanted), "doc", "left_semi") if wanted.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else docs
+    compared = named.join(texts, "doc")
     sorted_ = compared.select("hub", "part", "member", "node", "text").repartition("hub", "part").sortWithinPartitions("hub", "part", "member", "node")
     true = sorted_.mapInArrow(_verify(shingle, similarity), "u long, v long")
     roots = components(true, scratch)
