@@ -24,8 +24,8 @@ BITS = 18
 SAMPLE = 4000
 #: A feature counts if its rate in a lower grade is higher by so many standard errors.
 LEAST_Z = 8.0
-#: Least probability of the top grade for a document that is kept.
-KEEP = 0.6
+#: A document is kept if its probability of the top grade is at least this share of a text's with nothing against it.
+KEEP = 0.65
 #: Words whose weights a worker remembers.
 MEMORY = 500_000
 
@@ -74,6 +74,10 @@ class OrdinalModel:
         """P(grade > k) for each score and threshold."""
         return 1 / (1 + np.exp(-np.clip(scores[:, None] - self.thresholds[None, :], -40, 40)))
 
+    def least_tail(self, keep: float = KEEP) -> float:
+        """The probability of the top grade from which documents are kept; a text with nothing against it always is."""
+        return float(keep * self.tails(np.zeros(1))[0, -1])
+
 
 def fit_ordinal(features: list[np.ndarray], grades: np.ndarray, steps: int = 300, ridge: float = 0.3, rate: float = 0.1) -> OrdinalModel:
     """Penalized maximum likelihood by full-batch Adam; every grade weighs the same.
@@ -209,11 +213,12 @@ def score_documents(df: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
     return out.withColumnRenamed("id", id_col)
 
 
-def keep_good(df: DataFrame, model: OrdinalModel, text_col: str = "text", least: float = KEEP) -> DataFrame:
-    """The rows of ``df``, with all columns, whose probability of the top grade is ``least`` or more.
+def keep_good(df: DataFrame, model: OrdinalModel, text_col: str = "text", keep: float = KEEP) -> DataFrame:
+    """The rows of ``df``, with all columns, whose probability of the top grade is high enough (:meth:`OrdinalModel.least_tail`).
 
-    A null or empty text has the score 0, like one of unknown words only.
+    A null or empty text has the score 0, like one of unknown words only, and is kept.
     """
+    least = model.least_tail(keep)
     shared = df.sparkSession.sparkContext.broadcast(model)
     names = df.columns
     at = names.index(text_col)

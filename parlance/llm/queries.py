@@ -53,8 +53,9 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
-    return scored.withColumn("kept", scored.p_above_1 >= quality.KEEP)
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score_documents(docs, model)
+    return scored.withColumn("kept", scored.p_above_1 >= model.least_tail())
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
