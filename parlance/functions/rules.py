@@ -47,3 +47,14 @@ SHORT_PAUSE, SENTENCE_PAUSE, TURN_PAUSE, COMPLETE, LONGEST_TURN = 250, 650, 900,
 WEIGHTS = {"pause": 0.32, "punct": 0.22, "syntax": 0.28, "speaker": 0.12, "duration": 0.06}
 #: Limits of the recognition checks: probability of no speech, mean log-probability, confidence.
 NO_SPEECH, LOGPROB, CONFIDENCE = 0.60, -1.2, 0.45
+#: Words after which an English fragment goes on, verbs that need an object, words at which a Spanish line may break.
+CONTINUATIONS = "and but because so or that which who whom when while if for to like then with about at in on of as how what where than though although since until unless".split()
+ENGLISH_AUXILIARIES = "is are was were be been being have has had do does did can could will would shall should may might must".split()
+OPEN_PHRASES = (
+    r"(?:i\s+want\s+to|i\s+wanted\s+to|i\s+just\s+wanted\s+to)\s*$",
+    r"(?:because\s+i\s+feel\s+like|because\s+i\s+think|because\s+it)\s*$",
+    r"(?:that'?s\s+(?:at\s+least\s+)?how|that'?s\s+what|that'?s\s+why)\s*$",
+    r"(?:the\s+way|the\s+reason\s+why|something\s+like|kind\s+of|sort\s+of)\s*$",
+    r"(?:i\s+mean|you\s+know|in\s+terms\s+of|as\s+well\s+as)\s*$",
+)
+BREAKS = "y e o u pero sino que porque cuando donde aunque para como sin con en de a".split()

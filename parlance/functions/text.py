@@ -181,3 +181,49 @@ def anomaly(text: Column, confidence: Column, logprob: Column, no_speech: Column
         .when(odd, "unpronounceable")
         .otherwise("ok")
     )
+
+
+def incomplete_english(c: Column) -> Column:
+    """The simpler English rule: open phrases, trailing links or auxiliaries, or three words and more without an end; empty is complete."""
+    clean = F.trim(F.coalesce(c, F.lit("")))
+    words = tokens(clean)
+    last = F.element_at(words, -1)
+    opened = clean.rlike(r"(?:\.\.\.|[…—-])$")
+    for p in rules.OPEN_PHRASES:
+        opened = opened | clean.rlike(rf"(?iU)\b{p}")
+    link = F.coalesce(last.isin(rules.CONTINUATIONS + rules.ENGLISH_AUXILIARIES), F.lit(False))
+    return (clean != "") & (opened | (F.size(words) > 0) & (link | (F.size(words) >= 3) & ~clean.rlike(r"[.!?]$") & clean.rlike(r"\p{L}")))
+
+
+def continues(c: Column) -> Column:
+    """Whether an English fragment goes on from one before: a small first letter (but for I) or a linking word."""
+    clean = F.trim(F.coalesce(c, F.lit("")))
+    small = clean.rlike(r"^\p{Ll}") & ~clean.rlike(r"^i[ ']")
+    return (clean != "") & (small | F.coalesce(F.get(tokens(clean), F.lit(0)).isin(rules.CONTINUATIONS), F.lit(False)))
+
+
+def subtitle(c: Column, width: int = 42) -> Column:
+    """A text on one line, or on two at the best break: near the middle, within the width, after punctuation, before a conjunction, not after an article.
+
+    The first of equally good breaks is taken.
+    """
+    clean = collapse(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?iU)\b(\w{3,})\s+\1\b", "$1"))
+    words = F.split(clean, " ")
+    total = F.length(clean)
+
+    def over(n: Column) -> Column:
+        return F.greatest(F.lit(0), n - width) * 10.0
+
+    def judged(acc: Column, pair: Column) -> Column:
+        word, following = pair["w"], F.regexp_replace(F.lower(pair["n"]), r"[,;:.!?]+$", "")
+        end = acc["end"] + F.length(word) + F.when(acc["end"] > 0, 1).otherwise(0)
+        score = (
+            F.abs(end - total / 2) + over(end) + over(total - end - 1)
+            - F.when(word.rlike("[,;:.]$"), 15.0).otherwise(0.0) - F.when(following.isin(rules.BREAKS), 8.0).otherwise(0.0) + F.when(F.lower(word).isin(rules.ARTICLES), 25.0).otherwise(0.0)
+        )
+        return F.struct(end.cast("int").alias("end"), F.least(acc["best"], F.struct(score.cast("double").alias("score"), end.cast("int").alias("at"))).alias("best"))
+
+    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, n: F.struct(w.alias("w"), n.alias("n")))
+    start = F.struct(F.lit(0).cast("int").alias("end"), F.struct(F.lit(float("inf")).cast("double").alias("score"), F.lit(0).cast("int").alias("at")).alias("best"))
+    at = F.aggregate(pairs, start, judged, lambda a: a["best"]["at"])
+    return F.when((total <= width) | (F.size(words) < 2), clean).otherwise(F.concat(F.substring(clean, F.lit(1), at), F.lit("\n"), F.substring(clean, at + 2, total)))
