@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import rules
@@ -85,35 +85,29 @@ def spoken(c: Column) -> Column:
     return F.when(capital, F.concat(F.upper(first), clean.substr(F.lit(2), F.length(clean)))).otherwise(clean)
 
 
-def post_process(c: Column, least: float = 0.85) -> Column:
-    """(text, confidence, changed) of recognized English text after repairs.
+def with_repairs(df: DataFrame, column: str, out: str = "repaired", least: float = 0.85) -> DataFrame:
+    """``df`` with ``out`` (text, confidence, changed): recognized English text after repairs.
 
     Stutters, contractions, misheard phrases and stray punctuation are mended,
-    if the mean confidence of the rules that apply is at least ``least``.
+    if the mean confidence of the rules that apply is at least ``least``.  Each
+    rule's text is a column of its own, as the next rule and the confidence
+    both need it and an expression would work it out again for each.
     """
-    original = F.trim(F.coalesce(c, F.lit("")))
-    text, weights = original, []
-
-    # A pattern that isn't found changes nothing, so each step has the one before it once.
-    def step(now: Column, pattern: str, to: str, weight: float) -> Column:
-        weights.append(F.when(now.rlike(pattern), F.lit(weight)))
-        return F.regexp_replace(now, pattern, to)
-
     triple = r"(?iU)\b(\w+)(?:\s+\1\b){2,}"
     double = rf"(?iU)\b({_any(rules.FUNCTION_WORDS)})\s+\1\b"
-    had = text.rlike(triple)
-    weights.append(F.when(had | text.rlike(double), F.lit(0.95)))
-    text = F.when(had, F.regexp_replace(text, triple, "$1")).otherwise(F.regexp_replace(text, double, "$1"))
-    for word, to in rules.CONTRACTIONS:
-        text = step(text, rf"(?iU)\b{word}\b", to, 0.90)
-    for pattern, to, weight in rules.ACOUSTIC_REPAIRS:
-        text = step(text, f"(?iU){pattern}", to, weight)
-    trimmed = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"^[\s,;:\-]+", ""), r"[\s,;:\-]+$", ""), r"\s{2,}", " "))
-    weights.append(F.when(trimmed != text, F.lit(0.95)))
-    known = F.array_compact(F.array(*weights))
-    mean = F.when(F.size(known) == 0, 1.0).otherwise(F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known))
-    good = mean >= least
-    return F.struct(F.when(good, trimmed).otherwise(original).alias("text"), F.round(mean, 2).alias("confidence"), (good & (trimmed != original)).alias("changed"))
+    steps = [(rf"(?iU)\b{word}\b", to, 0.90) for word, to in rules.CONTRACTIONS] + [(f"(?iU){p}", to, weight) for p, to, weight in rules.ACOUSTIC_REPAIRS]
+    now = df.withColumn("_t", F.trim(F.coalesce(F.col(column), F.lit(""))))
+    now = now.withColumn("_had", F.col("_t").rlike(triple)).withColumn("_w", F.when(F.col("_had") | F.col("_t").rlike(double), F.lit(0.95)))
+    now = now.withColumn("_t0", F.when(F.col("_had"), F.regexp_replace("_t", triple, "$1")).otherwise(F.regexp_replace("_t", double, "$1")))
+    for k, (pattern, to, weight) in enumerate(steps):
+        now = now.withColumn(f"_w{k}", F.when(F.col(f"_t{k}").rlike(pattern), F.lit(weight))).withColumn(f"_t{k + 1}", F.regexp_replace(f"_t{k}", pattern, to))
+    last, ends = f"_t{len(steps)}", (r"^[\s,;:\-]+", r"[\s,;:\-]+$")
+    now = now.withColumn("_end", F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(last, ends[0], ""), ends[1], ""), r"\s{2,}", " ")))
+    weights = F.array_compact(F.array("_w", *[f"_w{k}" for k in range(len(steps))], F.when(F.col("_end") != F.col(last), F.lit(0.95))))
+    now = now.withColumn("_all", weights).withColumn("_mean", F.when(F.size("_all") == 0, 1.0).otherwise(F.aggregate("_all", F.lit(0.0), lambda a, x: a + x) / F.size("_all")))
+    good = F.col("_mean") >= least
+    result = F.struct(F.when(good, F.col("_end")).otherwise(F.col("_t")).alias("text"), F.round("_mean", 2).alias("confidence"), (good & (F.col("_end") != F.col("_t"))).alias("changed"))
+    return now.select(*[c for c in df.columns if c != out], result.alias(out))
 
 
 def keep_case(found: Column, replacement: Column) -> Column:

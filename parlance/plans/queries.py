@@ -228,7 +228,7 @@ def word_error_rates(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def repaired_text(spark: SparkSession, folder: str) -> DataFrame:
     t = table(spark, folder, "conversations")
-    return t.select("conv_id", "turn", T.post_process(F.col("text")).alias("r"), T.drop_repetitions(F.col("text")).alias("once"), T.spoken(F.col("text")).alias("spoken")).select("conv_id", "turn", "r.*", "once", "spoken")
+    return T.with_repairs(t, "text", "r").select("conv_id", "turn", "r", T.drop_repetitions(F.col("text")).alias("once"), T.spoken(F.col("text")).alias("spoken")).select("conv_id", "turn", "r.*", "once", "spoken")
 
 
 def fragments(spark: SparkSession, folder: str) -> DataFrame:
