@@ -37,7 +37,8 @@ def test_completion_score(spark):
 
 def test_repairs(spark):
     texts = ["I think the the the person was right.", "I wanna see what is gonna happen.", ", hello world -", "plain", "bare in mind, a peace of cake", None, "looking outside for fresh air", "of of course"]
-    assert [r.text for r in each(spark, texts, T.post_process)] == ["I think the person was right.", "I want to see what is going to happen.", "hello world", "plain", "bear in mind, a piece of cake", "", "walking outside for fresh air", "of course"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    assert [r.repaired.text for r in T.with_repairs(df, "t").orderBy("i").collect()] == ["I think the person was right.", "I want to see what is going to happen.", "hello world", "plain", "bear in mind, a piece of cake", "", "walking outside for fresh air", "of course"]
     assert each(spark, ["hola hola hola cómo estás estás bien", "we go there we go there now"], T.drop_repetitions) == ["hola cómo estás bien", "we go there now"]
     assert each(spark, ["I am kind of just trying to be helpful", "Well, it is, like, fine", "So, he is sort of running"], T.spoken) == ["I am just trying to be helpful", "It is, fine", "He is running"]
 
