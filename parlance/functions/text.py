@@ -221,3 +221,10 @@ def subtitle(c: Column, width: int = 42) -> Column:
     start = F.struct(F.lit(0).cast("int").alias("end"), F.struct(F.lit(float("inf")).cast("double").alias("score"), F.lit(0).cast("int").alias("at")).alias("best"))
     at = F.aggregate(pairs, start, judged, lambda a: a["best"]["at"])
     return F.when((total <= width) | (F.size(words) < 2), clean).otherwise(F.concat(F.substring(clean, F.lit(1), at), F.lit("\n"), F.substring(clean, at + 2, total)))
+
+
+def brief_answer(c: Column, other_spoke: Column) -> Column:
+    """The Spanish for an English answer of a word or two, if another speaker's turn is in the context; else null."""
+    key = F.regexp_replace(F.lower(F.trim(c)), r"\.$", "")
+    known = F.create_map(*[F.lit(x) for pair in rules.BRIEF_ANSWERS.items() for x in pair])
+    return F.when(other_spoke, F.element_at(known, key))

@@ -40,3 +40,29 @@ def other_speaker(captions: DataFrame) -> DataFrame:
 def decay(gap: Column, full: float = 0.20, none: float = 0.75) -> Column:
     """1 up to a gap of ``full`` seconds, 0 from ``none`` on, and a line between."""
     return F.when(gap <= full, 1.0).when(gap >= none, 0.0).otherwise((none - gap) / (none - full))
+
+
+def shown_turns(captions: DataFrame, most: int = 2, seconds: float = 14.0) -> DataFrame:
+    """(session_id, id, shown): the turns on display when each one has come, the oldest first.
+
+    A speaker's turn that repeats the last one, or begins with it, takes its
+    place; turns older than ``seconds`` go; ``most`` stay.  Time is the turns'
+    own.  A session is folded in order by one task; turns without text change
+    nothing but age.
+    """
+    import pandas as pd
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, kept = [], []
+        for r in pdf.sort_values(["start_s", "id"], kind="stable").itertuples():
+            text = (r.original or "").strip()
+            if text:
+                last = kept[-1] if kept else None
+                if last and last[0] == r.speaker_id and text.lower().startswith(last[1].lower()):
+                    kept[-1] = (r.speaker_id, last[1] if text.lower() == last[1].lower() else text, r.start_s)
+                else:
+                    kept = [*kept, (r.speaker_id, text, r.start_s)][-most:]
+            rows.append((key[0], r.id, [t for _, t, at in kept if r.start_s - at <= seconds]))
+        return pd.DataFrame(rows, columns=["session_id", "id", "shown"])
+
+    return captions.groupBy("session_id").applyInPandas(run, "session_id long, id long, shown array<string>")
