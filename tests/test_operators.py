@@ -105,3 +105,14 @@ def test_audio_kernels(spark):
     df = spark.createDataFrame([(a.tolist(),), (None,)], "s array<float>").select(audio.pitch_of("s").alias("p"), audio.overlap_of("s").alias("o"), audio.voiceprint_of("s").alias("v"))
     got = df.collect()
     assert got[0].p == pytest.approx(130, rel=0.03) and got[1].p == 0 and got[1].v is None and not got[1].o.has_overlap
+
+
+def test_display_and_answers(spark):
+    from parlance.operators import context
+
+    rows = [(1, 1, "A", "Hola", 0.0), (1, 2, "A", "Hola a todos", 1.0), (1, 3, "B", "Sí", 2.0), (1, 4, "A", None, 3.0), (1, 5, "A", "Bien", 4.0), (1, 6, "B", "Claro", 30.0)]
+    df = spark.createDataFrame(rows, "session_id long, id long, speaker_id string, original string, start_s double")
+    got = {r.id: r.shown for r in context.shown_turns(df).collect()}
+    assert got == {1: ["Hola"], 2: ["Hola a todos"], 3: ["Hola a todos", "Sí"], 4: ["Hola a todos", "Sí"], 5: ["Sí", "Bien"], 6: ["Claro"]}
+    said = spark.createDataFrame([("Exactly.", True), ("for sure", True), ("sure", False), ("other", True)], "t string, o boolean")
+    assert [r.x for r in said.select(T.brief_answer(F.col("t"), F.col("o")).alias("x")).collect()] == ["Exacto.", "Por supuesto.", None, None]
