@@ -32,7 +32,7 @@ def pitch(audio: np.ndarray) -> float:
     return float(np.median(found)) if found else 0.0
 
 
-def _peaks(x: np.ndarray, least: float, apart: int) -> np.ndarray:
+def peaks(x: np.ndarray, least: float, apart: int) -> np.ndarray:
     """Local maxima of a least height, the higher first, none closer than ``apart`` to a higher one."""
     at = np.flatnonzero((x[1:-1] > x[:-2]) & (x[1:-1] >= x[2:]) & (x[1:-1] >= least)) + 1
     kept: list[int] = []
@@ -49,7 +49,7 @@ def two_voices(frame: np.ndarray) -> float:
     if size.max() <= 1e-6:
         return 0.0
     lo, hi = n * 75 // RATE, n * 450 // RATE
-    at = _peaks(size[lo:hi], 0.2 * size.max(), n * 25 // RATE)[:2]
+    at = peaks(size[lo:hi], 0.2 * size.max(), n * 25 // RATE)[:2]
     if len(at) < 2:
         return 0.1 * len(at)
     f, m = (at + lo) * RATE / n, size[at + lo]
