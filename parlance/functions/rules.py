@@ -58,3 +58,26 @@ OPEN_PHRASES = (
     r"(?:i\s+mean|you\s+know|in\s+terms\s+of|as\s+well\s+as)\s*$",
 )
 BREAKS = "y e o u pero sino que porque cuando donde aunque para como sin con en de a".split()
+#: Of the continuity score: words that link clauses, verbs that need an object.
+LINKS = (
+    "to for with about in on at of from by into through during before after above below between "
+    "and but or because so if that which who whom when while as than though although since until unless "
+    "like then where how what whose"
+).split()
+TRANSITIVE = (
+    "admire admires admiring get gets getting want wants wanted wanting need needs needed needing like likes liked liking love loves loved loving "
+    "make makes made making know knows knew knowing think thinks thought thinking feel feels felt feeling see sees saw seeing find finds found finding"
+).split()
+#: Literal Spanish renderings and what is said instead, in the order of their use.
+NATURAL_SPANISH = (
+    (r"\bcomo\s+una\s+fiesta\s+de\s+l[aá]stima\s+en\s+absoluto\b", "para dar lástima en absoluto"),
+    (r"\buna\s+fiesta\s+de\s+l[aá]stima\b", "dar lástima"),
+    (r"\bparte\s+de\s+pena\b", "dar lástima"),
+    (r"\bhaciendo\s+un\s+diario\b", "escribir en un diario"),
+    (r"\bcreando\s+un\s+diario\b", "escribir en un diario"),
+    (r"\bbrilla\s+a\s+trav[eé]s\b", "se nota"),
+    (r"\bbrilla\s+tambi[eé]n\b", "también se nota"),
+    (r"\btambi[eé]n\s+brilla\b", "también se nota"),
+    (r"\bviene\s+a\s+trav[eé]s\b", "da la impresión"),
+    (r"\bva\s+a\s+funcionar\b", "va a salir bien"),
+)

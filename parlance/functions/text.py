@@ -228,3 +228,26 @@ def brief_answer(c: Column, other_spoke: Column) -> Column:
     key = F.regexp_replace(F.lower(F.trim(c)), r"\.$", "")
     known = F.create_map(*[F.lit(x) for pair in rules.BRIEF_ANSWERS.items() for x in pair])
     return F.when(other_spoke, F.element_at(known, key))
+
+
+def natural_spanish(translated: Column, original: Column) -> Column:
+    """A Spanish translation of English with what came out word for word put as it is said.
+
+    Some rules look at the English text as well; a null one lets only the
+    others apply.
+    """
+    out, source = translated, F.coalesce(F.trim(original), F.lit(""))
+    for p, to in rules.NATURAL_SPANISH:
+        out = F.regexp_replace(out, f"(?iU){p}", to)
+    shines = source.rlike(r"(?iU)\bshines?\s+through\b") & ~out.contains("nota") & ~out.contains("destaca")
+    out = F.when(shines, F.regexp_replace(out, r"(?iU)\bbrilla\b", "se nota")).otherwise(out)
+    diary = F.lower(source).contains("journaling") & ~out.rlike(r"(?iU)escribir\s+en\s+un\s+diario")
+    out = F.when(diary, F.regexp_replace(out, r"(?iU)(?:haciendo|tomando|llevando)?\s*un\s+diario", "escribir en un diario")).otherwise(out)
+    return F.when(source.rlike(r"(?U)^[a-zA-Z]+ing\b"), F.regexp_replace(F.regexp_replace(out, "^Caminando ", "Salir a caminar "), "^caminando ", "salir a caminar ")).otherwise(out)
+
+
+def without_artifacts(translated: Column, original: Column) -> Column:
+    """A translation without the dashes of a dialogue and the question that a model puts before it; a dash of the original stays."""
+    out = F.trim(F.regexp_replace(translated, r"(?iU)^[-—–]\s*¿Qué\?\s*[-—–]?\s*", ""))
+    added = ~F.coalesce(original, F.lit("")).rlike("^[-—–]") & out.rlike("^[-—–]")
+    return F.when(added, F.trim(F.regexp_replace(out, r"^[-—–]\s*", ""))).otherwise(out)

@@ -73,6 +73,28 @@ def translate(df: DataFrame, providers: dict[tuple[str, str], Callable[[], Trans
     return good.unionByName(bad.withColumn("translated", F.coalesce(_translated(spare, F.col("text")), F.col("text"))))
 
 
+def recognized(make: Callable[[], Recognizer]):
+    """A recognizer as a function of a samples column; what fails gives a null text and costs no other."""
+    names = [c.split()[0] for c in RECOGNIZED.split(", ")]
+
+    @F.pandas_udf(RECOGNIZED)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        f = make()
+        for a in batches:
+            try:
+                yield f(a)[names]
+            except Exception:  # one by one, so that a segment that fails costs no other
+                rows = []
+                for x in a:
+                    try:
+                        rows.append(f(pd.Series([x]))[names])
+                    except Exception:
+                        rows.append(pd.DataFrame([(None,) * len(names)], columns=names))
+                yield pd.concat(rows, ignore_index=True).astype({"text": object, "confidence": float, "avg_logprob": float, "no_speech_prob": float})
+
+    return run
+
+
 def retry(df: DataFrame, make: Callable[[], Recognizer], audio: str = "audio") -> DataFrame:
     """``df`` (text, confidence, avg_logprob, no_speech_prob, audio) with odd results recognized again.
 
@@ -82,12 +104,7 @@ def retry(df: DataFrame, make: Callable[[], Recognizer], audio: str = "audio") -
     checked = df.withColumn("why", anomaly(F.col("text"), F.col("confidence"), F.col("avg_logprob"), F.col("no_speech_prob")))
     fine = F.col("why").isin("ok", "empty")
 
-    @F.pandas_udf(RECOGNIZED)
-    def again(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        f = make()
-        for a in batches:
-            yield f(a)
-
+    again = recognized(make)
     new = checked.where(~fine).withColumn("new", again(F.col(audio)))
     passes = anomaly(F.col("new.text"), F.col("new.confidence"), F.col("new.avg_logprob"), F.col("new.no_speech_prob")) == "ok"
     better = (F.trim(F.coalesce("new.text", F.lit(""))) != "") & (passes | (F.col("new.confidence") > F.col("confidence") + 0.10))

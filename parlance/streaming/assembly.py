@@ -9,28 +9,30 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.assembly import OUTPUT, Assembler, feed
+from ..operators.assembly import COLUMNS, OUTPUT, Assembler, feed
 
 
 def assemble_stream(fragments: DataFrame) -> DataFrame:
     """Utterances as their fragments arrive.
 
-    Batches come in order for a session; a row whose text is null ends its
-    session and closes the open turns, as the batch operator does at its end.
+    Batches come in order for a session; a row with neither text nor progress
+    ends its session and closes the open turns, as the batch operator does at
+    its end.
     """
-    columns = [c.split()[0] for c in OUTPUT.split(", ")]
-
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         machine: Assembler = pickle.loads(state.get[0]) if state.exists else Assembler()
         pdf = pd.concat(list(frames))
-        ended = pdf["text"].isna().any()
-        rows = feed(machine, pdf[pdf["text"].notna()])
+        ends = pdf["text"].isna()
+        if "processed_s" in pdf:
+            ends &= pdf["processed_s"].isna()
+        ended = ends.any()
+        rows = feed(machine, pdf[~ends])
         if ended:
             rows += machine.flush()
             if state.exists:
                 state.remove()
         else:
             state.update((pickle.dumps(machine),))
-        yield pd.DataFrame([{"session_id": key[0], **r} for r in rows], columns=columns)
+        yield pd.DataFrame([{"session_id": key[0], **r} for r in rows], columns=COLUMNS)
 
     return fragments.groupBy("session_id").applyInPandasWithState(run, OUTPUT, "machine binary", "append", GroupStateTimeout.NoTimeout)
