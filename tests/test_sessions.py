@@ -71,7 +71,7 @@ def test_batch_and_stream_give_the_same(spark, tmp_path):
         stream = assemble_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/all"))
         q = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
         q.awaitTermination(60)
-    got = sorted(map(repr, spark.read.parquet(f"{path}/out").select(*[c.split()[0] for c in assembly.OUTPUT.split(", ")]).collect()))
+    got = sorted(map(repr, spark.read.parquet(f"{path}/out").select(*assembly.COLUMNS).collect()))
     assert got == want
 
 
@@ -102,3 +102,55 @@ def test_wav_chunks(spark, tmp_path):
     got = wav_chunks(spark, str(tmp_path / "a.wav"), 1).select("chunk", "start_s", F.size("samples").alias("n")).orderBy("chunk").collect()
     assert [tuple(r) for r in got] == [(0, 0.0, 16000), (1, 1.0, 16000), (2, 2.0, 8000)]
     assert pd.notna(got[0].n)
+
+
+def test_sentences_within_a_fragment():
+    words = [("Hello.", 0.2, 0.6), ("Goodbye.", 1.0, 1.5)]
+    out = Assembler().add(A, "Hello. Goodbye.", 5.0, 7.0, 700, words=words)
+    assert [(u["text"], u["reason"], u["start_s"], u["end_s"]) for u in out] == [("Hello.", "internal_sentence", 5.0, 5.8), ("Goodbye.", "completion_score", 5.8, 7.0)]
+    assert out[1]["words"] == [{"word": "Goodbye.", "start_s": 6.0, "end_s": 6.5}]
+    m = Assembler()
+    out = m.add(A, "Hello. I want to", 0, 0.7, 0, True, words=[("Hello.", 0.0, 0.2), ("I", 0.3, 0.4), ("want", 0.4, 0.5), ("to", 0.5, 0.6)]) + m.add(B, "Absolutely.", 0.8, 1.4, 700)
+    assert [(u["text"], u["interrupted"]) for u in out] == [("Hello.", False), ("I want to", True), ("Absolutely.", False)]
+
+
+@pytest.mark.parametrize("words", [[("Hello.", 0.2, float("nan")), ("Goodbye.", 1.0, 1.5)], [("Hello.", 0.2, 3.0), ("Goodbye.", 3.0, 3.5)], [("Hello.", 0.0, 0.0), ("Goodbye.", 0.0, 1.0)], [(" ", 0, 0.1), ("think...", 0.2, 0.3), ("so.", 0.4, 0.5)], [("Hi.", 0, 1)]])
+def test_words_that_cannot_be_cut(words):
+    assert len(assembly.sentences("text", 0.0, 2.0, words)) == 1
+
+
+def test_progress_rows_close_turns_in_batch_and_stream(spark, tmp_path):
+    schema = "session_id long, sequence_id long, speaker_id string, text string, start_s double, end_s double, pause_ms double, is_partial boolean, confidence double, processed_s double, voice_s double"
+    rows = [(1, 0, A, "This clause is complete", 0.0, 0.8, 300.0, False, 0.9, None, None), (1, 1, None, None, None, None, None, None, None, 1.5, 0.5), (1, 2, None, "Who said this.", 2.0, 3.0, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, schema)
+    got = [(r.text, r.reason, r.confidence) for r in assembly.assemble(df).orderBy("utterance").collect()]
+    assert got == [("This clause is complete", "timeout", 0.9), ("Who said this.", "flush", 1.0)]
+    for k in range(3):
+        df.where(F.col("sequence_id") == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    df.where("sequence_id = 2").withColumn("sequence_id", F.lit(3)).withColumn("text", F.lit(None).cast("string")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = assemble_stream(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    q = stream.writeStream.format("memory").queryName("progressed").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    assert q.awaitTermination(120)
+    assert [(r.text, r.reason, r.confidence) for r in spark.table("progressed").orderBy("utterance").collect()] == got
+
+
+def test_second_pass(spark):
+    schema = "session_id long, sequence_id long, speaker_id string, text string, start_s double, end_s double, pause_ms double, is_partial boolean, confidence double"
+    rows = [(1, 0, A, "I was", 0.0, 1.0, 0.0, True, 0.5), (1, 1, A, "right.", 0.5, 1.5, 900.0, False, 0.5), (2, 0, A, "Broken is this.", 0.0, 1.0, 900.0, False, 0.5), (3, 0, A, "No sound is kept.", 0.0, 1.0, 900.0, False, 0.5)]
+    heard = assembly.assemble(spark.createDataFrame(rows, schema))
+    sounds = [(1, 0, 0.0, [1.0] * 16000), (1, 1, 0.5, [3.0] * 16000), (2, 0, 0.0, [9.0] * 16000), (3, 0, 0.0, [])]
+    audio = spark.createDataFrame(sounds, "session_id long, sequence_id long, start_s double, samples array<float>")
+    whole = np.array(assembly.utterance_audio(heard, audio).where("session_id = 1").first().samples)
+    assert len(whole) == 4480 + 24000 + 4800
+    assert [whole[i] for i in (0, 4480, 4480 + 12000, 4480 + 20000, -1)] == [0.0, 1.0, 2.0, 3.0, 0.0]
+
+    def make():
+        def f(a):
+            if any(np.max(x) == 9 for x in a):
+                raise ValueError
+            return pd.DataFrame({"text": [" I was  right" for _ in a], "confidence": 0.8, "avg_logprob": -0.1, "no_speech_prob": 0.0})
+
+        return f
+
+    got = {r.session_id: (r.text, r.second_pass, r.confidence) for r in assembly.second_pass(heard, audio, make).collect()}
+    assert got == {1: ("I was right", True, 0.8), 2: ("Broken is this.", False, 0.5), 3: ("No sound is kept.", False, 0.5)}
