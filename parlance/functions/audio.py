@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -114,6 +116,28 @@ def resample(audio: np.ndarray, rate: int) -> np.ndarray:
     return (weight * np.asarray(audio, np.float64)[np.clip(near, 0, len(audio) - 1)]).sum(axis=1).astype(np.float32)
 
 
+class Resampler:
+    """Blocks to 16 kHz one after another: what doesn't fill a whole step waits for the next block.
+
+    For whole factors the result is that of the blocks put together.  Blocks
+    of several channels, interleaved, become their mean.
+    """
+
+    def __init__(self, rate: int, channels: int = 1) -> None:
+        self.rate, self.channels = rate, channels
+        self.step = rate // math.gcd(rate, RATE)
+        self.rest = np.zeros(0, np.float32)
+
+    def add(self, block: np.ndarray) -> np.ndarray:
+        mono = np.asarray(block, np.float32)
+        if self.channels > 1:
+            mono = mono[: len(mono) // self.channels * self.channels].reshape(-1, self.channels).mean(axis=1)
+        whole = np.concatenate([self.rest, mono])
+        n = len(whole) // self.step * self.step
+        self.rest = whole[n:]
+        return resample(whole[:n], self.rate)
+
+
 @F.pandas_udf(T.DoubleType())
 def pitch_of(samples: pd.Series) -> pd.Series:
     return samples.map(lambda a: pitch(np.asarray(a, np.float32)) if a is not None else 0.0)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,20 +35,54 @@ def with_word_error_rate(df: DataFrame, reference: str, hypothesis: str, out: st
     return known.withColumn(out, rate).drop("_r", "_h", "_known")
 
 
+def _runs(first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, turn): from each begin on, the last turn that covers the cells, or -1; turns come in order of their precedence."""
+    order = np.argsort(first, kind="stable")
+    edges = np.unique(np.concatenate([first, stop]))
+    heap: list[int] = []
+    owner, k = np.full(len(edges), -1), 0
+    for i, edge in enumerate(edges):
+        while k < len(order) and first[order[k]] <= edge:
+            heapq.heappush(heap, -int(order[k]))
+            k += 1
+        while heap and stop[-heap[0]] <= edge:
+            heapq.heappop(heap)
+        if heap:
+            owner[i] = -heap[0]
+    return edges, owner
+
+
 def diarization_errors(reference: DataFrame, hypothesis: DataFrame, step: float = 0.02) -> DataFrame:
     """(session_id, speech, missed, false_alarm, confused, der) in cells of ``step`` seconds.
 
-    Where turns overlap, the later one (by start, then end) has the cell.
+    Where turns overlap, the later one (by start, then end, then speaker) has
+    the cell; a turn without a speaker has its cells for none.  Cells are
+    counted as runs between the turns' edges and never made, so a session
+    costs its turns and not its seconds.
     """
-    def cells(turns: DataFrame, name: str) -> DataFrame:
-        first, last = F.floor(F.col("start_s") / step), F.ceil(F.col("end_s") / step) - 1
-        each = turns.where(last >= first).select("session_id", F.explode(F.sequence(first, last)).alias("cell"), F.struct("start_s", "end_s", "speaker_id").alias("turn"))
-        return each.groupBy("session_id", "cell").agg(F.max("turn").alias("turn")).select("session_id", "cell", F.col("turn.speaker_id").alias(name))
-
-    both = cells(reference, "r").join(cells(hypothesis, "h"), ["session_id", "cell"], "full")
-    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    r, h = F.col("r"), F.col("h")
-    sums = both.groupBy("session_id").agg(n(r.isNotNull()).alias("speech"), n(r.isNotNull() & h.isNull()).alias("missed"), n(r.isNull() & h.isNotNull()).alias("false_alarm"), n(r != h).alias("confused"))
+    def turns(df: DataFrame, name: str) -> DataFrame:
+        first, stop = F.floor(F.col("start_s") / step), F.ceil(F.col("end_s") / step)
+        return df.select("session_id", "start_s", "end_s", "speaker_id", first.alias("first"), stop.alias("stop"), F.lit(name).alias("side")).where("stop > first")
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["start_s", "end_s", "speaker_id"], kind="stable", na_position="first")
+        codes = pd.factorize(pdf["speaker_id"])[0]
+        sides = []
+        for name in ("r", "h"):
+            own = (pdf["side"] == name).to_numpy()
+            edges, owner = _runs(pdf["first"].to_numpy(np.int64)[own], pdf["stop"].to_numpy(np.int64)[own])
+            sides.append((edges, np.append(codes[own], -1)[owner]))
+        every = np.unique(np.concatenate([e for e, _ in sides]))
+        who = []
+        for edges, speakers in sides:
+            at = np.searchsorted(edges, every, "right") - 1
+            who.append(np.where(at >= 0, np.append(speakers, -1)[at], -1))
+        cells = np.diff(every, append=every[-1:])
+        r, h = who
+        speech, missed, false, confused = (int(cells[m].sum()) for m in (r >= 0, (r >= 0) & (h < 0), (r < 0) & (h >= 0), (r >= 0) & (h >= 0) & (r != h)))
+        return pd.DataFrame([(key[0], speech, missed, false, confused)], columns=["session_id", "speech", "missed", "false_alarm", "confused"])
+
+    sums = turns(reference, "r").unionByName(turns(hypothesis, "h")).groupBy("session_id").applyInPandas(run, "session_id long, speech long, missed long, false_alarm long, confused long")
     return sums.withColumn("der", F.when(F.col("speech") > 0, (F.col("missed") + F.col("false_alarm") + F.col("confused")) / F.col("speech")).otherwise(0.0))
 
 

@@ -6,7 +6,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.audio import RATE, Resampler
 
 OUTPUT = "session_id long, segment int, start_s double, end_s double, samples int, reason string"
 
@@ -82,3 +85,41 @@ def detect(frames: DataFrame, **options) -> DataFrame:
         return pd.DataFrame([{"session_id": key[0], "segment": i, **r} for i, r in enumerate(rows)], columns=columns)
 
     return frames.groupBy("session_id").applyInPandas(run, OUTPUT)
+
+
+def resampled(frames: DataFrame, rate: int, channels: int = 1) -> DataFrame:
+    """(session_id, frame_seq, samples) at 16 kHz: a session's frames in order, the rest of one carried into the next; the last rest is left out."""
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        machine = Resampler(rate, channels)
+        rows = [(key[0], r.frame_seq, machine.add(r.samples if r.samples is not None else []).tolist()) for r in pdf.sort_values("frame_seq", kind="stable").itertuples()]
+        return pd.DataFrame(rows, columns=["session_id", "frame_seq", "samples"])
+
+    return frames.select("session_id", "frame_seq", "samples").groupBy("session_id").applyInPandas(run, "session_id long, frame_seq long, samples array<float>")
+
+
+def _silence(n: Column) -> Column:
+    return F.array_repeat(F.lit(0.0).cast("float"), F.greatest(F.lit(0), n).cast("int"))
+
+
+def padded(segments: DataFrame, frames: DataFrame, before_s: float = 0.3, after_s: float = 0.3, frame_s: float = 0.03) -> DataFrame:
+    """Segments (session_id, segment, start_s, samples) with padded: their samples after the audio that came before, and before silence.
+
+    ``frames`` are (session_id, t_s, samples), each from ``t_s`` on and at
+    most ``frame_s`` long.  What was not heard is silence, so every result has
+    the same length around the segment; a segment without samples has none.
+    Frames and segments meet by equal time slots, never as a product.
+    """
+    slot = before_s + frame_s
+    n = int(before_s * RATE)
+    own = segments.select("session_id", "segment", F.col("start_s").alias("at_s"), F.explode(F.sequence(F.floor((F.col("start_s") - slot) / slot), F.floor(F.col("start_s") / slot))).alias("slot"))
+    heard = frames.select("session_id", "t_s", F.col("samples").cast("array<float>").alias("f"), F.floor(F.col("t_s") / slot).alias("slot"))
+    near = own.join(heard, ["session_id", "slot"]).where((F.col("t_s") < F.col("at_s")) & (F.col("t_s") >= F.col("at_s") - slot))
+    room = F.bround((F.col("at_s") - F.col("t_s")) * RATE).cast("int")
+    history = near.groupBy("session_id", "segment").agg(F.sort_array(F.collect_list(F.struct("t_s", F.slice("f", F.lit(1), room).alias("f")))).alias("h"))
+    tail = F.flatten(F.transform("h", lambda x: x["f"]))
+    cut = F.when(F.size(tail) > n, F.slice(tail, F.size(tail) - n + 1, F.lit(n))).otherwise(tail)
+    before = history.select("session_id", "segment", cut.alias("_before"))
+    joined = segments.join(before, ["session_id", "segment"], "left")
+    own_before = F.coalesce("_before", F.array().cast("array<float>"))
+    whole = F.concat(_silence(n - F.size(own_before)), own_before, F.col("samples").cast("array<float>"), _silence(F.lit(int(after_s * RATE))))
+    return joined.withColumn("padded", F.when(F.size("samples") > 0, whole).otherwise(F.array().cast("array<float>"))).drop("_before")
