@@ -69,11 +69,14 @@ def suppress_repeats(utterances: DataFrame) -> DataFrame:
 
     def choose(pdf: pd.DataFrame) -> list:
         kept: list = []
+        open_: list = []
         for r in pdf.sort_values(["start_s", "end_s"], kind="stable").itertuples():
-            near = [k for k in kept[-200:] if r.start_s - k.end_s < KEEP_S and (min(k.end_s, r.end_s) > max(k.start_s, r.start_s) or abs(k.start_s - r.start_s) <= SAME_START)]
+            open_ = [k for k in open_ if r.start_s - k.end_s < KEEP_S]
+            near = [k for k in open_ if min(k.end_s, r.end_s) > max(k.start_s, r.start_s) or abs(k.start_s - r.start_s) <= SAME_START]
             if not any(similarity(r.text, k.text) >= SUPPRESS for k in near):
-                kept.append(r)
-        return [k.Index for k in kept]
+                kept.append(r.Index)
+                open_.append(r)
+        return kept
 
     return _whole(utterances, ["session_id", "speaker_id"], choose)
 

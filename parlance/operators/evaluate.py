@@ -6,9 +6,12 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import within_tolerance
+from .metrics import character_error_rate, diarization_errors, with_word_error_rate
+
 OUTPUT = "session_id long, turns long, missed long, short long, short_found long, complete long, coverage double, outputs long, merged long"
 
 
@@ -89,3 +92,50 @@ def rates(counts: DataFrame) -> DataFrame:
         part("merged", "outputs", 0.0).alias("cross_speaker_merge_rate"),
         F.round(100 * F.avg("coverage"), 2).alias("mean_coverage"),
     )
+
+
+def turn_scores(truth: DataFrame, outputs: DataFrame, seconds: float = 0.5) -> DataFrame:
+    """(session_id, speaker_turn_precision, speaker_turn_recall) of changes of the speaker, in percent; a change is found within ``seconds``.
+
+    A session whose truth has no change has 100 for both without any, else a
+    precision of 0 and a recall of 100.
+    """
+    w = Window.partitionBy("session_id").orderBy("start_s", "end_s", "speaker_id")
+
+    def changes(turns: DataFrame) -> DataFrame:
+        return turns.withColumn("_b", F.lag("speaker_id").over(w)).where(F.col("_b") != F.col("speaker_id")).select("session_id", F.col("start_s").alias("at_s"))
+
+    def found(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
+        hit = within_tolerance(a, b, seconds).withColumn("hit", F.lit(1))
+        each = a.join(hit, ["session_id", "at_s"], "left").groupBy("session_id")
+        return each.agg(F.count("*").alias(f"{name}_n"), F.count("hit").alias(f"{name}_hit"))
+
+    r, h = changes(truth), changes(outputs)
+    sessions = truth.select("session_id").union(outputs.select("session_id")).distinct()
+    both = sessions.join(found(r, h, "r"), "session_id", "left").join(found(h, r, "h"), "session_id", "left").na.fill(0, ["r_n", "r_hit", "h_n", "h_hit"])
+    precision = F.when(F.col("h_n") > 0, 100 * F.col("h_hit") / F.col("h_n")).otherwise(F.when(F.col("r_n") > 0, 0.0).otherwise(100.0))
+    recall = F.when(F.col("r_n") > 0, 100 * F.col("r_hit") / F.col("r_n")).otherwise(100.0)
+    return both.select("session_id", F.round(precision, 2).alias("speaker_turn_precision"), F.round(recall, 2).alias("speaker_turn_recall"))
+
+
+def scorecard(truth: DataFrame, outputs: DataFrame) -> DataFrame:
+    """Eleven percentages for each session: errors of words, characters and speakers, missed words and utterances, short ones found, turns, completeness, merged speakers, coverage.
+
+    The texts of a session are joined in the order of their start.  Sessions
+    of one side only have a row too.
+    """
+    def text(turns: DataFrame, name: str) -> DataFrame:
+        said = F.filter(F.transform(F.sort_array(F.collect_list(F.struct("start_s", "end_s", F.trim(F.coalesce("text", F.lit(""))).alias("t")))), lambda x: x["t"]), lambda t: t != "")
+        return turns.groupBy("session_id").agg(F.array_join(said, " ").alias(name))
+
+    texts = text(truth, "_ref").join(text(outputs, "_hyp"), "session_id", "full").na.fill("", ["_ref", "_hyp"])
+    rated = with_word_error_rate(texts, "_ref", "_hyp").withColumn("cer", character_error_rate(F.col("_ref"), F.col("_hyp"))).select("session_id", "wer", "cer")
+    speakers = diarization_errors(truth, outputs).select("session_id", "der")
+    percent = lambda c: F.round(100 * F.col(c), 2)
+    share = lambda a, b, empty: F.round(F.when(F.col(b) > 0, 100 * F.col(a) / F.col(b)).otherwise(empty), 2)
+    every = evaluate(truth, outputs).join(rated, "session_id", "left").join(speakers, "session_id", "left").join(turn_scores(truth, outputs), "session_id", "left")
+    return every.select(
+        "session_id", percent("wer").alias("wer"), percent("cer").alias("cer"), F.coalesce(percent("der"), F.lit(0.0)).alias("der"), F.round(100 * (1 - F.col("coverage")), 2).alias("missed_word_rate"),
+        share("missed", "turns", 0.0).alias("missed_utterance_rate"), share("short_found", "short", 100.0).alias("short_utterance_recall"), "speaker_turn_precision", "speaker_turn_recall",
+        share("complete", "turns", 0.0).alias("sentence_completeness"), share("merged", "outputs", 0.0).alias("cross_speaker_merge_rate"), percent("coverage").alias("source_dialogue_coverage"),
+    )

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as T
-from ..operators import assembly, context, history, intervals, metrics, speakers
+from ..functions.continuity import continuity
+from ..functions.loss import loss
+from ..operators import assembly, context, duplicates, evaluate, history, intervals, merging, metrics, providers, speakers, tracking
 from ..sources.tables import captions, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -246,3 +248,98 @@ def fragments(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def assembled_utterances(spark: SparkSession, folder: str) -> DataFrame:
     return assembly.assemble(fragments(spark, folder))
+
+
+@query()
+def merged_by_pause(spark: SparkSession, folder: str) -> DataFrame:
+    return merging.merge(fragments(spark, folder), "pause")
+
+
+@query()
+def merged_by_continuity(spark: SparkSession, folder: str) -> DataFrame:
+    return merging.merge(fragments(spark, folder), "continuity")
+
+
+@query(f"""WITH {CAPTIONS}, h AS (SELECT *, regexp_matches(trim(left(original, CAST(length(original) // 2 AS INTEGER))), '[.!?]$') AS marked, (start_s + end_s) / 2 AS mid FROM cap),
+m AS (SELECT session_id, id, 0 AS k, speaker_id, start_s, mid AS end_s, 1 AS fragments FROM h WHERE marked UNION ALL SELECT session_id, id, 1, speaker_id, CASE WHEN marked THEN mid ELSE start_s END, end_s, CASE WHEN marked THEN 1 ELSE 2 END FROM h)
+SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY id, k) AS utterance, speaker_id, round(start_s, 6) AS start_s, round(end_s, 6) AS end_s, fragments FROM m""")
+def merged_by_marks(spark: SparkSession, folder: str) -> DataFrame:
+    m = merging.merge(fragments(spark, folder), "buffer")
+    return m.select("session_id", "utterance", "speaker_id", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"), F.size("fragments").alias("fragments"))
+
+
+@query()
+def tracked_speakers(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors as pieces of a second each, in sessions of 64."""
+    v = table(spark, folder, "embeddings").select(F.floor(F.col("vec_id") / 64).alias("session_id"), F.col("vec_id").alias("segment"), F.lit(0).alias("piece"), (F.col("vec_id") * 2.0).alias("start_s"), (F.col("vec_id") * 2.0 + 1).alias("end_s"), F.lit(None).cast("string").alias("text"), F.col("embedding").cast("array<double>").alias("voiceprint"), F.lit(0.0).alias("pitch"), F.lit(True).alias("clean"), F.lit(None).cast("int").alias("source"))
+    return tracking.track(v)
+
+
+_LINKS = ", ".join(f"'{w}'" for w in rules.LINKS)
+_AUX = ", ".join(f"'{w}'" for w in rules.ENGLISH_AUXILIARIES)
+_VERBS = ", ".join(f"'{w}'" for w in rules.TRANSITIVE)
+
+
+@query(rf"""WITH {CAPTIONS}, c AS (SELECT session_id, id, speaker_id, CASE WHEN id % 2 = 0 THEN original || ' I want to' ELSE original END AS t, start_s, end_s + 10 - id * 0.1::DOUBLE AS stop_s FROM cap),
+p AS (SELECT *, lag(t) OVER w AS a, lag(stop_s) OVER w AS e FROM c WINDOW w AS (PARTITION BY session_id ORDER BY id)),
+x AS (SELECT session_id, id, trim(a) AS a, trim(t) AS b, greatest(0.0::DOUBLE, start_s - e) AS gap, regexp_extract_all(lower(trim(a)), '{WORD}') AS wa, regexp_extract_all(lower(trim(t)), '{WORD}') AS wb FROM p WHERE a IS NOT NULL),
+y AS (SELECT *, regexp_matches(b, '^\p{{Ll}}') AND NOT starts_with(b, 'i ') AS small FROM x),
+g AS (SELECT *, CASE WHEN len(wa) = 0 OR len(wb) = 0 THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, 0.0::DOUBLE + CASE WHEN wa[-1] IN ({_LINKS}) THEN 0.45 ELSE 0 END::DOUBLE + CASE WHEN wa[-1] IN ({_AUX}) THEN 0.40 ELSE 0 END::DOUBLE + CASE WHEN wa[-1] IN ({_VERBS}) THEN 0.35 ELSE 0 END::DOUBLE
+  + CASE WHEN wb[1] IN ({_LINKS}) THEN 0.25 ELSE 0 END::DOUBLE + CASE WHEN small THEN 0.25 ELSE 0 END::DOUBLE + CASE WHEN regexp_matches(a, '(?:\.\.\.|…|-)$') THEN 0.35 ELSE 0 END::DOUBLE) END AS g FROM y),
+z AS (SELECT session_id, id, gap, g, 0.25::DOUBLE * CASE WHEN gap <= 0.3 THEN 1 WHEN gap >= 1.4 THEN 0 ELSE 1 - (gap - 0.3::DOUBLE) / 1.1::DOUBLE END + 0.35::DOUBLE * g + 0.2::DOUBLE * CASE WHEN NOT regexp_matches(a, '[.!?]$') THEN 0.8 WHEN small THEN 0.4 ELSE 0.15 END::DOUBLE + 0.2::DOUBLE AS total FROM g)
+SELECT session_id, id, round(total, 6) AS score, CASE WHEN gap >= 1.4 AND g < 0.85 THEN 'gap' WHEN total >= 0.5 AND g >= 0.25 THEN 'joined' ELSE 'apart' END AS reason FROM z""")
+def continuity_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns and the ones before as if one speaker said both; every other one is left open."""
+    c = captions(spark, folder).withColumn("t", F.when(F.col("id") % 2 == 0, F.concat("original", F.lit(" I want to"))).otherwise(F.col("original"))).withColumn("stop_s", F.col("end_s") + 10 - F.col("id") * 0.1)
+    w = Window.partitionBy("session_id").orderBy("id")
+    p = c.withColumn("a", F.lag("t").over(w)).withColumn("e", F.lag("stop_s").over(w)).where("a is not null")
+    one = F.lit("x")
+    return p.withColumn("c", continuity(F.col("a"), one, F.col("e"), F.col("t"), one, F.col("start_s"))).select("session_id", "id", F.round("c.score", 6).alias("score"), "c.reason")
+
+
+@query("""WITH x AS (SELECT doc_id, trim(left(text, 40)) AS raw, trim(left(text, CAST(doc_id % 41 AS INTEGER))) AS final, doc_id % 3 = 0 AS kept FROM documents)
+SELECT doc_id, CASE WHEN raw <> '' AND final = '' THEN 'pipeline' WHEN length(final) < 0.4 * length(raw) AND length(raw) > 8 THEN 'pipeline' WHEN NOT kept THEN 'unknown' WHEN raw = '' THEN 'recognition' ELSE 'none' END AS kind FROM x""")
+def loss_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts cut at 40 characters, of which the number of the document says how many are delivered; a third have audio."""
+    marks = F.when(F.col("doc_id") % 3 == 0, F.struct(F.lit(16000).alias("samples"), F.lit(0.1).cast("double").alias("level"), F.lit(0.0).cast("double").alias("onset")))
+    return table(spark, folder, "documents").select("doc_id", loss(marks, F.left("text", F.lit(40)), F.left(F.col("text"), (F.col("doc_id") % 41).cast("int")))["kind"].alias("kind"))
+
+
+_SHINE = "' Su luz BRILLA a través, y va  a funcionar.'"
+
+
+@query(rf"SELECT doc_id, md5(regexp_replace(regexp_replace(text || {_SHINE}, '(?i)\bbrilla\s+a\s+trav[eé]s\b', 'se nota', 'g'), '(?i)\bva\s+a\s+funcionar\b', 'va a salir bien', 'g')) AS digest FROM documents")
+def natural_spanish(spark: SparkSession, folder: str) -> DataFrame:
+    t = F.concat("text", F.lit(_SHINE.strip("'")))
+    return table(spark, folder, "documents").select("doc_id", F.md5(T.natural_spanish(t, F.lit("It works."))).alias("digest"))
+
+
+@query(f"WITH {CAPTIONS} SELECT session_id, id, CASE WHEN speaker_id = 'user' THEN original ELSE 'x ' || original END AS translated FROM cap")
+def translated_turns(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns of users stay, as they are in the target's language; a provider marks the others."""
+    c = captions(spark, folder).select("session_id", "id", F.col("original").alias("text"), F.when(F.col("speaker_id") == "user", "es").otherwise("en").alias("language"), F.lit(True).alias("is_complete"), F.lit(False).alias("is_interrupted"))
+    return providers.translate(c, {("en", "es"): lambda: lambda texts: "x " + texts}).select("session_id", "id", "translated")
+
+
+def _heard_twice(spark: SparkSession, folder: str) -> DataFrame:
+    c = captions(spark, folder).select("session_id", F.col("id").alias("sequence_id"), "speaker_id", F.col("original").alias("text"), "start_s", "end_s", F.lit(0.9).alias("confidence"))
+    again = c.withColumn("start_s", F.col("start_s") + 0.05).withColumn("confidence", F.lit(0.8))
+    return c.unionByName(again)
+
+
+@query(f"WITH {CAPTIONS} SELECT session_id, id AS sequence_id, start_s FROM cap")
+def suppressed_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return duplicates.suppress_repeats(_heard_twice(spark, folder)).select("session_id", "sequence_id", "start_s")
+
+
+@query(f"WITH {CAPTIONS} SELECT session_id, id AS sequence_id, 0.9::DOUBLE AS confidence FROM cap")
+def resolved_channels(spark: SparkSession, folder: str) -> DataFrame:
+    return duplicates.resolve_channels(_heard_twice(spark, folder)).select("session_id", "sequence_id", "confidence")
+
+
+@query()
+def dialogue_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns against themselves with a third left out and the rest half a second late."""
+    c = captions(spark, folder).select("session_id", "id", "speaker_id", F.col("original").alias("text"), "start_s", "end_s")
+    late = c.where("id % 3 <> 2").withColumn("start_s", F.col("start_s") + 0.5).withColumn("end_s", F.col("end_s") + 0.5)
+    return evaluate.scorecard(c.drop("id"), late.drop("id"))
