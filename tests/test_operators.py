@@ -116,3 +116,21 @@ def test_display_and_answers(spark):
     assert got == {1: ["Hola"], 2: ["Hola a todos"], 3: ["Hola a todos", "Sí"], 4: ["Hola a todos", "Sí"], 5: ["Sí", "Bien"], 6: ["Claro"]}
     said = spark.createDataFrame([("Exactly.", True), ("for sure", True), ("sure", False), ("other", True)], "t string, o boolean")
     assert [r.x for r in said.select(T.brief_answer(F.col("t"), F.col("o")).alias("x")).collect()] == ["Exacto.", "Por supuesto.", None, None]
+
+
+def test_scorecard(spark):
+    from parlance.operators.evaluate import scorecard
+
+    schema = "session_id long, speaker_id string, text string, start_s double, end_s double"
+    true = [("A", "This is a whole sentence.", 0.0, 2.0), ("B", "Yes.", 2.5, 3.0)]
+    rows = lambda k, turns: [(k, *t) for t in turns]
+    truth = spark.createDataFrame(rows(1, true) + rows(2, true) + rows(3, true) + rows(4, true[:1]), schema)
+    merged = [("A", "This is a whole sentence. Yes.", 0.0, 3.0)]
+    outputs = spark.createDataFrame(rows(1, true) + rows(2, [("A", "This is", 0.0, 2.0), ("B", "", 2.5, 3.0)]) + rows(3, merged) + rows(4, [("A", "This is a whole sentence.", 0.0, 2.0), ("B", None, 2.0, 2.2)]), schema)
+    got = {r.session_id: r for r in scorecard(truth, outputs).collect()}
+    first = got[1].asDict()
+    good = {"short_utterance_recall", "speaker_turn_precision", "speaker_turn_recall", "sentence_completeness", "source_dialogue_coverage"}
+    assert {k for k, v in first.items() if v == 100.0} == good and all(v == 0.0 for k, v in first.items() if k not in good | {"session_id"})
+    assert got[2].sentence_completeness == 0.0 and got[2].wer == pytest.approx(66.67) and got[2].missed_utterance_rate == 50.0
+    assert got[3].cross_speaker_merge_rate == 100.0 and got[3].speaker_turn_recall == 0.0 and got[3].speaker_turn_precision == 0.0
+    assert got[4].speaker_turn_precision == 0.0 and got[4].speaker_turn_recall == 100.0
