@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import rules
-from .text import tokens
+from .text import strip, tokens
 
 #: Weights of time, grammar, closing and speaker; least total and grammar; full and largest gap in seconds; grammar that bridges a larger one.
 WEIGHTS, LEAST, LEAST_GRAMMAR, FULL_GAP, LARGEST_GAP, BRIDGE = (0.25, 0.35, 0.20, 0.20), 0.50, 0.25, 0.30, 1.40, 0.85
@@ -52,7 +52,7 @@ def continuity(text_a: Column, speaker_a: Column, end_a: Column, text_b: Column,
     speaker is a speaker of its own.  Reasons: other_speaker, empty, gap,
     joined, apart.
     """
-    a, b = F.trim(F.coalesce(text_a, F.lit(""))), F.trim(F.coalesce(text_b, F.lit("")))
+    a, b = strip(F.coalesce(text_a, F.lit(""))), strip(F.coalesce(text_b, F.lit("")))
     gap = F.greatest(F.lit(0.0), start_b - end_a)
     g = grammar(a, b)
     w = WEIGHTS

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .arrays import energy
+from .text import strip
 
 #: Level of speech, samples of the shortest speech, level at an edge that means a cut, samples of an edge.
 VOICE, SHORTEST, CUT, EDGE = 0.015, 2880, 0.06, 240
@@ -27,8 +28,8 @@ def loss(marks: Column, recognized: Column, delivered: Column, truth: Column | N
     samples is a loss of audio.  Null texts are empty; without a truth the
     level of the audio decides alone.
     """
-    raw, final = F.trim(F.coalesce(recognized, F.lit(""))), F.trim(F.coalesce(delivered, F.lit("")))
-    true = F.lower(F.trim(F.coalesce(truth, F.lit("")))) if truth is not None else F.lit("")
+    raw, final = strip(F.coalesce(recognized, F.lit(""))), strip(F.coalesce(delivered, F.lit("")))
+    true = F.lower(strip(F.coalesce(truth, F.lit("")))) if truth is not None else F.lit("")
     words = lambda c: F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
     said, heard = words(true), words(F.lower(raw))
     cut, short, loud = marks["onset"] > CUT, marks["samples"] < SHORTEST, marks["level"] > VOICE

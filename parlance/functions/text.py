@@ -16,6 +16,11 @@ def _any(words: Iterable[str]) -> str:
     return "|".join(words)
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def collapse(c: Column) -> Column:
     """Outer space cut, inner runs of it one space."""
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
@@ -69,17 +74,17 @@ def drop_repetitions(c: Column) -> Column:
     out = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?iU)\b(\w+)(?:\s+\1\b)+", "$1")
     for _ in range(3):
         out = F.regexp_replace(out, r"(?iU)(\b(?:\w+\s+){1,6}\w+)\s+\1\b", "$1")
-    return F.trim(out)
+    return strip(out)
 
 
 def spoken(c: Column) -> Column:
     """English speech without leading fillers and hedges; a capital at the start stays one."""
-    clean = F.trim(c)
+    clean = strip(c)
     for p in rules.LEADING_FILLERS:
         clean = F.regexp_replace(clean, f"(?i){p}", "")
     for p, to in rules.HEDGES:
         clean = F.regexp_replace(clean, f"(?iU){p}", to)
-    clean = F.trim(F.regexp_replace(clean, r"\s{2,}", " "))
+    clean = strip(F.regexp_replace(clean, r"\s{2,}", " "))
     first = clean.substr(1, 1)
     capital = (first != F.upper(first)) & (c.substr(1, 1) != F.lower(c.substr(1, 1)))
     return F.when(capital, F.concat(F.upper(first), clean.substr(F.lit(2), F.length(clean)))).otherwise(clean)
@@ -96,13 +101,13 @@ def with_repairs(df: DataFrame, column: str, out: str = "repaired", least: float
     triple = r"(?iU)\b(\w+)(?:\s+\1\b){2,}"
     double = rf"(?iU)\b({_any(rules.FUNCTION_WORDS)})\s+\1\b"
     steps = [(rf"(?iU)\b{word}\b", to, 0.90) for word, to in rules.CONTRACTIONS] + [(f"(?iU){p}", to, weight) for p, to, weight in rules.ACOUSTIC_REPAIRS]
-    now = df.withColumn("_t", F.trim(F.coalesce(F.col(column), F.lit(""))))
+    now = df.withColumn("_t", strip(F.coalesce(F.col(column), F.lit(""))))
     now = now.withColumn("_had", F.col("_t").rlike(triple)).withColumn("_w", F.when(F.col("_had") | F.col("_t").rlike(double), F.lit(0.95)))
     now = now.withColumn("_t0", F.when(F.col("_had"), F.regexp_replace("_t", triple, "$1")).otherwise(F.regexp_replace("_t", double, "$1")))
     for k, (pattern, to, weight) in enumerate(steps):
         now = now.withColumn(f"_w{k}", F.when(F.col(f"_t{k}").rlike(pattern), F.lit(weight))).withColumn(f"_t{k + 1}", F.regexp_replace(f"_t{k}", pattern, to))
     last, ends = f"_t{len(steps)}", (r"^[\s,;:\-]+", r"[\s,;:\-]+$")
-    now = now.withColumn("_end", F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(last, ends[0], ""), ends[1], ""), r"\s{2,}", " ")))
+    now = now.withColumn("_end", strip(F.regexp_replace(F.regexp_replace(F.regexp_replace(last, ends[0], ""), ends[1], ""), r"\s{2,}", " ")))
     weights = F.array_compact(F.array("_w", *[f"_w{k}" for k in range(len(steps))], F.when(F.col("_end") != F.col(last), F.lit(0.95))))
     now = now.withColumn("_all", weights).withColumn("_mean", F.when(F.size("_all") == 0, 1.0).otherwise(F.aggregate("_all", F.lit(0.0), lambda a, x: a + x) / F.size("_all")))
     good = F.col("_mean") >= least
@@ -159,16 +164,16 @@ def timestamp(seconds: Column, separator: str = ",") -> Column:
 
 def model_for_language(model: Column, language: Column) -> Column:
     """An English-only model's name loses its suffix where other languages may come."""
-    other = language.isNull() | F.lower(F.trim(language)).isin(*rules.MULTILINGUAL)
+    other = language.isNull() | F.lower(strip(language)).isin(*rules.MULTILINGUAL)
     return F.when(model.endswith(".en") & other, F.regexp_replace(model, r"\.en$", "")).otherwise(model)
 
 
 def anomaly(text: Column, confidence: Column, logprob: Column, no_speech: Column) -> Column:
     """The first check that recognized text fails: empty, no_speech, logprob, confidence, unpronounceable; else ok."""
-    letters = F.transform(F.split(F.trim(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: F.regexp_replace(w, "[^a-zA-ZáéíóúÁÉÍÓÚñÑ]", ""))
+    letters = F.transform(F.split(strip(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: F.regexp_replace(w, "[^a-zA-ZáéíóúÁÉÍÓÚñÑ]", ""))
     odd = F.exists(letters, lambda w: (F.length(w) >= 6) & ~w.rlike("(?iu)[aeiouyáéíóú]"))
     return (
-        F.when(F.trim(F.coalesce(text, F.lit(""))) == "", "empty")
+        F.when(strip(F.coalesce(text, F.lit(""))) == "", "empty")
         .when(no_speech > rules.NO_SPEECH, "no_speech")
         .when(logprob < rules.LOGPROB, "logprob")
         .when(confidence < rules.CONFIDENCE, "confidence")
@@ -179,7 +184,7 @@ def anomaly(text: Column, confidence: Column, logprob: Column, no_speech: Column
 
 def incomplete_english(c: Column) -> Column:
     """The simpler English rule: open phrases, trailing links or auxiliaries, or three words and more without an end; empty is complete."""
-    clean = F.trim(F.coalesce(c, F.lit("")))
+    clean = strip(F.coalesce(c, F.lit("")))
     words = tokens(clean)
     last = F.element_at(words, -1)
     opened = clean.rlike(r"(?:\.\.\.|[…—-])$")
@@ -191,7 +196,7 @@ def incomplete_english(c: Column) -> Column:
 
 def continues(c: Column) -> Column:
     """Whether an English fragment goes on from one before: a small first letter (but for I) or a linking word."""
-    clean = F.trim(F.coalesce(c, F.lit("")))
+    clean = strip(F.coalesce(c, F.lit("")))
     small = clean.rlike(r"^\p{Ll}") & ~clean.rlike(r"^i[ ']")
     return (clean != "") & (small | F.coalesce(F.get(tokens(clean), F.lit(0)).isin(rules.CONTINUATIONS), F.lit(False)))
 
@@ -225,7 +230,7 @@ def subtitle(c: Column, width: int = 42) -> Column:
 
 def brief_answer(c: Column, other_spoke: Column) -> Column:
     """The Spanish for an English answer of a word or two, if another speaker's turn is in the context; else null."""
-    key = F.regexp_replace(F.lower(F.trim(c)), r"\.$", "")
+    key = F.regexp_replace(F.lower(strip(c)), r"\.$", "")
     known = F.create_map(*[F.lit(x) for pair in rules.BRIEF_ANSWERS.items() for x in pair])
     return F.when(other_spoke, F.element_at(known, key))
 
@@ -236,7 +241,7 @@ def natural_spanish(translated: Column, original: Column) -> Column:
     Some rules look at the English text as well; a null one lets only the
     others apply.
     """
-    out, source = translated, F.coalesce(F.trim(original), F.lit(""))
+    out, source = translated, F.coalesce(strip(original), F.lit(""))
     for p, to in rules.NATURAL_SPANISH:
         out = F.regexp_replace(out, f"(?iU){p}", to)
     shines = source.rlike(r"(?iU)\bshines?\s+through\b") & ~out.contains("nota") & ~out.contains("destaca")
@@ -248,6 +253,6 @@ def natural_spanish(translated: Column, original: Column) -> Column:
 
 def without_artifacts(translated: Column, original: Column) -> Column:
     """A translation without the dashes of a dialogue and the question that a model puts before it; a dash of the original stays."""
-    out = F.trim(F.regexp_replace(translated, r"(?iU)^[-—–]\s*¿Qué\?\s*[-—–]?\s*", ""))
+    out = strip(F.regexp_replace(translated, r"(?iU)^[-—–]\s*¿Qué\?\s*[-—–]?\s*", ""))
     added = ~F.coalesce(original, F.lit("")).rlike("^[-—–]") & out.rlike("^[-—–]")
-    return F.when(added, F.trim(F.regexp_replace(out, r"^[-—–]\s*", ""))).otherwise(out)
+    return F.when(added, strip(F.regexp_replace(out, r"^[-—–]\s*", ""))).otherwise(out)

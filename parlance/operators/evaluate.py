@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from .intervals import within_tolerance
 from .metrics import character_error_rate, diarization_errors, with_word_error_rate
 
@@ -125,7 +126,7 @@ def scorecard(truth: DataFrame, outputs: DataFrame) -> DataFrame:
     of one side only have a row too.
     """
     def text(turns: DataFrame, name: str) -> DataFrame:
-        said = F.filter(F.transform(F.sort_array(F.collect_list(F.struct("start_s", "end_s", F.trim(F.coalesce("text", F.lit(""))).alias("t")))), lambda x: x["t"]), lambda t: t != "")
+        said = F.filter(F.transform(F.sort_array(F.collect_list(F.struct("start_s", "end_s", strip(F.coalesce("text", F.lit(""))).alias("t")))), lambda x: x["t"]), lambda t: t != "")
         return turns.groupBy("session_id").agg(F.array_join(said, " ").alias(name))
 
     texts = text(truth, "_ref").join(text(outputs, "_hyp"), "session_id", "full").na.fill("", ["_ref", "_hyp"])

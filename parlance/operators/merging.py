@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.continuity import continuity
-from ..functions.text import continues, incomplete_english
+from ..functions.text import continues, incomplete_english, strip
 
 OUTPUT = "session_id long, utterance long, speaker_id string, start_s double, end_s double, text string, confidence double, fragments array<string>, merged boolean"
 COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
@@ -125,7 +125,7 @@ def merge(fragments: DataFrame, rule: str = "pause") -> DataFrame:
     if rule not in RULES:
         raise ValueError(f"no such rule: {rule}")
     optional = {"is_partial": "boolean", "processed_s": "double"}
-    given = fragments.select("session_id", "sequence_id", F.coalesce("speaker_id", F.lit("unknown")).alias("speaker_id"), F.trim("text").alias("text"), "start_s", "end_s", F.coalesce("confidence", F.lit(1.0)).alias("confidence"), *[F.col(c) if c in fragments.columns else F.lit(None).cast(t).alias(c) for c, t in optional.items()])
+    given = fragments.select("session_id", "sequence_id", F.coalesce("speaker_id", F.lit("unknown")).alias("speaker_id"), strip(F.col("text")).alias("text"), "start_s", "end_s", F.coalesce("confidence", F.lit(1.0)).alias("confidence"), *[F.col(c) if c in fragments.columns else F.lit(None).cast(t).alias(c) for c, t in optional.items()])
     given = given.where((F.coalesce("text", F.lit("")) != "") | F.col("processed_s").isNotNull())
     order = Window.partitionBy("session_id").orderBy("sequence_id", "start_s")
     speech = F.when(F.col("processed_s").isNull(), F.struct("text", "speaker_id", "end_s"))

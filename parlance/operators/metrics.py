@@ -14,7 +14,7 @@ from ..functions import text as T
 
 def character_error_rate(reference: Column, hypothesis: Column) -> Column:
     """Edits over the reference's characters, without outer space and case; 0 or 1 for an empty reference."""
-    r, h = F.lower(F.trim(F.coalesce(reference, F.lit("")))), F.lower(F.trim(F.coalesce(hypothesis, F.lit(""))))
+    r, h = F.lower(T.strip(F.coalesce(reference, F.lit("")))), F.lower(T.strip(F.coalesce(hypothesis, F.lit(""))))
     return F.when(r == "", F.when(h == "", 0.0).otherwise(1.0)).otherwise(F.levenshtein(r, h) / F.length(r))
 
 

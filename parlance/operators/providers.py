@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import anomaly
+from ..functions.text import anomaly, strip
 
 Translator = Callable[[pd.Series], pd.Series]
 Recognizer = Callable[[pd.Series], pd.DataFrame]
@@ -57,7 +57,7 @@ def translate(df: DataFrame, providers: dict[tuple[str, str], Callable[[], Trans
     is.  A pair's provider translates, else ``spare``; where one fails, the
     spare, and then the text itself.  Each provider gets its own rows only.
     """
-    keep = ~F.col("is_complete") | F.col("is_interrupted") | (F.col("language") == target) | (F.trim("text") == "")
+    keep = ~F.col("is_complete") | F.col("is_interrupted") | (F.col("language") == target) | (strip(F.col("text")) == "")
     kept = F.coalesce(keep, F.lit(True))
     parts = [df.where(kept).withColumn("translated", F.col("text"))]
     known = [s for s, t in providers if t == target]
@@ -107,7 +107,7 @@ def retry(df: DataFrame, make: Callable[[], Recognizer], audio: str = "audio") -
     again = recognized(make)
     new = checked.where(~fine).withColumn("new", again(F.col(audio)))
     passes = anomaly(F.col("new.text"), F.col("new.confidence"), F.col("new.avg_logprob"), F.col("new.no_speech_prob")) == "ok"
-    better = (F.trim(F.coalesce("new.text", F.lit(""))) != "") & (passes | (F.col("new.confidence") > F.col("confidence") + 0.10))
+    better = (strip(F.coalesce("new.text", F.lit(""))) != "") & (passes | (F.col("new.confidence") > F.col("confidence") + 0.10))
     mended = new.withColumn("recovered", better)
     for c in ("text", "confidence", "avg_logprob", "no_speech_prob"):
         mended = mended.withColumn(c, F.when(F.col("recovered"), F.col(f"new.{c}")).otherwise(F.col(c)))

@@ -111,10 +111,13 @@ def reply_context(spark: SparkSession, folder: str) -> DataFrame:
 _NORM = r"trim(regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{M}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
-@query(f"""WITH {CAPTIONS}, x AS (SELECT *, {_NORM.format('original')} AS norm FROM cap), y AS (SELECT *, lag(start_s) OVER (PARTITION BY session_id, speaker_id, norm ORDER BY start_s, id) AS b FROM x)
+@query(f"""WITH {CAPTIONS}, two AS (SELECT * FROM cap UNION ALL SELECT session_id, id + 1000, speaker_id, original || ' !', start_s + 30, end_s + 30 FROM cap), x AS (SELECT *, {_NORM.format('original')} AS norm FROM two), y AS (SELECT *, lag(start_s) OVER (PARTITION BY session_id, speaker_id, norm ORDER BY start_s, id) AS b FROM x)
 SELECT session_id, id FROM y WHERE norm <> '' AND start_s - b <= 60""")
 def near_repeats(spark: SparkSession, folder: str) -> DataFrame:
-    return intervals.near_repeats(captions(spark, folder), 60.0).select("session_id", "id")
+    """Turns, and each one said again after half a minute."""
+    c = captions(spark, folder)
+    again = c.withColumn("id", F.col("id") + 1000).withColumn("original", F.concat("original", F.lit(" !"))).withColumn("start_s", F.col("start_s") + 30).withColumn("end_s", F.col("end_s") + 30)
+    return intervals.near_repeats(c.unionByName(again), 60.0).select("session_id", "id")
 
 
 @query(f"SELECT doc_id, md5({_NORM.format('text')}) AS digest FROM documents")
@@ -158,9 +161,10 @@ def completion_scores(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", score.alias("score"))
 
 
-@query("SELECT event_type, avg(value) AS mean, quantile_cont(value, 0.95) AS p95, max(value) AS max, count(*) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS k FROM events) WHERE k <= 100 GROUP BY 1")
+@query("SELECT event_type, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.95), 6) AS p95, max(value) AS max, count(*) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS k FROM events) WHERE k <= 100 GROUP BY 1")
 def latency_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return metrics.latency_summary(table(spark, folder, "events"), "event_type", "event_id", "value")
+    out = metrics.latency_summary(table(spark, folder, "events"), "event_type", "event_id", "value")
+    return out.withColumns({c: F.round(c, 6) for c in ("mean", "p95")})
 
 
 @query("""WITH a AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 8 HOUR THEN 0 ELSE 1 END AS new FROM events WHERE value >= 50),
@@ -260,7 +264,7 @@ def merged_by_continuity(spark: SparkSession, folder: str) -> DataFrame:
     return merging.merge(fragments(spark, folder), "continuity")
 
 
-@query(f"""WITH {CAPTIONS}, h AS (SELECT *, regexp_matches(trim(left(original, CAST(length(original) // 2 AS INTEGER))), '[.!?]$') AS marked, (start_s + end_s) / 2 AS mid FROM cap),
+@query(rf"""WITH {CAPTIONS}, h AS (SELECT *, regexp_matches(regexp_replace(left(original, CAST(length(original) // 2 AS INTEGER)), '^\s+|\s+$', '', 'g'), '[.!?]$') AS marked, (start_s + end_s) / 2 AS mid FROM cap),
 m AS (SELECT session_id, id, 0 AS k, speaker_id, start_s, mid AS end_s, 1 AS fragments FROM h WHERE marked UNION ALL SELECT session_id, id, 1, speaker_id, CASE WHEN marked THEN mid ELSE start_s END, end_s, CASE WHEN marked THEN 1 ELSE 2 END FROM h)
 SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY id, k) AS utterance, speaker_id, round(start_s, 6) AS start_s, round(end_s, 6) AS end_s, fragments FROM m""")
 def merged_by_marks(spark: SparkSession, folder: str) -> DataFrame:
@@ -282,7 +286,7 @@ _VERBS = ", ".join(f"'{w}'" for w in rules.TRANSITIVE)
 
 @query(rf"""WITH {CAPTIONS}, c AS (SELECT session_id, id, speaker_id, CASE WHEN id % 2 = 0 THEN original || ' I want to' ELSE original END AS t, start_s, end_s + 10 - id * 0.1::DOUBLE AS stop_s FROM cap),
 p AS (SELECT *, lag(t) OVER w AS a, lag(stop_s) OVER w AS e FROM c WINDOW w AS (PARTITION BY session_id ORDER BY id)),
-x AS (SELECT session_id, id, trim(a) AS a, trim(t) AS b, greatest(0.0::DOUBLE, start_s - e) AS gap, regexp_extract_all(lower(trim(a)), '{WORD}') AS wa, regexp_extract_all(lower(trim(t)), '{WORD}') AS wb FROM p WHERE a IS NOT NULL),
+x AS (SELECT session_id, id, regexp_replace(a, '^\s+|\s+$', '', 'g') AS a, regexp_replace(t, '^\s+|\s+$', '', 'g') AS b, greatest(0.0::DOUBLE, start_s - e) AS gap, regexp_extract_all(lower(a), '{WORD}') AS wa, regexp_extract_all(lower(t), '{WORD}') AS wb FROM p WHERE a IS NOT NULL),
 y AS (SELECT *, regexp_matches(b, '^\p{{Ll}}') AND NOT starts_with(b, 'i ') AS small FROM x),
 g AS (SELECT *, CASE WHEN len(wa) = 0 OR len(wb) = 0 THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, 0.0::DOUBLE + CASE WHEN wa[-1] IN ({_LINKS}) THEN 0.45 ELSE 0 END::DOUBLE + CASE WHEN wa[-1] IN ({_AUX}) THEN 0.40 ELSE 0 END::DOUBLE + CASE WHEN wa[-1] IN ({_VERBS}) THEN 0.35 ELSE 0 END::DOUBLE
   + CASE WHEN wb[1] IN ({_LINKS}) THEN 0.25 ELSE 0 END::DOUBLE + CASE WHEN small THEN 0.25 ELSE 0 END::DOUBLE + CASE WHEN regexp_matches(a, '(?:\.\.\.|…|-)$') THEN 0.35 ELSE 0 END::DOUBLE) END AS g FROM y),
@@ -297,7 +301,7 @@ def continuity_scores(spark: SparkSession, folder: str) -> DataFrame:
     return p.withColumn("c", continuity(F.col("a"), one, F.col("e"), F.col("t"), one, F.col("start_s"))).select("session_id", "id", F.round("c.score", 6).alias("score"), "c.reason")
 
 
-@query("""WITH x AS (SELECT doc_id, trim(left(text, 40)) AS raw, trim(left(text, CAST(doc_id % 41 AS INTEGER))) AS final, doc_id % 3 = 0 AS kept FROM documents)
+@query(r"""WITH x AS (SELECT doc_id, regexp_replace(left(text, 40), '^\s+|\s+$', '', 'g') AS raw, regexp_replace(left(text, CAST(doc_id % 41 AS INTEGER)), '^\s+|\s+$', '', 'g') AS final, doc_id % 3 = 0 AS kept FROM documents)
 SELECT doc_id, CASE WHEN raw <> '' AND final = '' THEN 'pipeline' WHEN length(final) < 0.4 * length(raw) AND length(raw) > 8 THEN 'pipeline' WHEN NOT kept THEN 'unknown' WHEN raw = '' THEN 'recognition' ELSE 'none' END AS kind FROM x""")
 def loss_kinds(spark: SparkSession, folder: str) -> DataFrame:
     """Texts cut at 40 characters, of which the number of the document says how many are delivered; a third have audio."""
