@@ -66,3 +66,10 @@ def test_arrays(spark):
     got = df.select(arrays.similarity(F.col("a"), F.col("b")).alias("s"), arrays.energy(F.col("a")).alias("e"), arrays.mixed(F.col("a"), F.col("b")).alias("m")).collect()
     assert [r.s for r in got] == pytest.approx([1.0, 0.0, 0.0, 0.0]) and got[0].e == pytest.approx(0.5**0.5) and got[3].e == 0
     assert got[0].m == pytest.approx([1.0, 1.0]) and got[2].m == pytest.approx([1.0])
+
+
+def test_all_white_space_is_cut(spark):
+    from parlance.functions.text import strip
+
+    rows = [("\n a\tb  \n", "a\tb"), ("", ""), (None, None), (" \n", "")]
+    assert [r.got for r in spark.createDataFrame(rows, "t string, want string").select(strip(F.col("t")).alias("got")).collect()] == [w for _, w in rows]
