@@ -266,3 +266,11 @@ def test_embeddings_without_ids(spark):
     frame = spark.createDataFrame([(None, [1.0, 0.0], 1), (5, [1.0, 0.0], 1), (5, [1.0, 0.001], 1), (None, None, 1)], "vec_id long, embedding array<float>, label int")
     got = sorted((repr(r.vec_id), r.n_links, r.component_id, r.kept) for r in embedding_dedup.embedding_groups(frame).collect())
     assert got == [("5", 2, 5, True), ("5", 2, 5, True), ("None", 0, None, False), ("None", 2, 5, False)]
+
+
+def test_a_false_link_hides_no_true_one():
+    """Links that aren't sure leave the others of their group to be compared as well."""
+    prints = np.array([0b0, 0b11111, 0b1111111], np.int64)
+    assert simhash.forest(prints, 8) == [(0, 1), (1, 2)]
+    assert simhash.forest(prints, 8, sure=1, more=4) == [(0, 1), (1, 2), (0, 2)]
+    assert simhash.forest(prints, 8, sure=2, more=4) == [(0, 1), (1, 2)]
