@@ -137,9 +137,9 @@ def _cut(cols: dict[str, np.ndarray], begin: int, end: int | None = None) -> dic
     return {k: v[begin:end] for k, v in cols.items()}
 
 
-def _blocks(cols: dict[str, np.ndarray], key: str, limit: int) -> Iterator[Block]:
+def _blocks(cols: dict[str, np.ndarray], key: str, limit: int, given: int = 0) -> Iterator[Block]:
     n = len(cols[key])
-    for i, begin in enumerate(range(0, n, limit)):
+    for i, begin in enumerate(range(0, n, limit), given):
         yield Block(int(cols[key][0]), i, _cut(cols, begin, begin + limit), begin + limit >= n)
 
 
@@ -159,7 +159,7 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str, limit: int) -> Iterator
         k = cols[key]
         cut = np.flatnonzero(k[1:] != k[:-1]) + 1
         if given and len(cut):
-            yield Block(int(k[0]), given, _cut(cols, 0, cut[0]), True)
+            yield from _blocks(_cut(cols, 0, cut[0]), key, limit, given)
             cols, cut, given = _cut(cols, cut[0]), cut[1:] - cut[0], 0
         if len(cut):
             starts = np.concatenate([[0], cut[:-1]])

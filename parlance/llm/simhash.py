@@ -141,12 +141,17 @@ def _out(kind: int, **cols: np.ndarray) -> pa.RecordBatch:
     return record(**{k: pa.array(v, pa.int32() if k in ("kind", "block", "blocks") else pa.int64()) for k, v in got.items()})
 
 
-def _link_shards(radius: int, limit: int, sure: int | None, more: int):
-    """Rows sorted by key: kind 0 links (node, other), kind 1 a hot shard's members, kind 2 its number of blocks."""
+def _link_shards(radius: int, limit: int, sure: int | None, more: int, final: bool = False):
+    """Rows sorted by key: kind 0 links (node, other), kind 1 a hot shard's members, kind 2 its number of blocks.
+
+    In the ``final`` pass a shard above the limit is an error, as nothing would link its members.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in grouped(batches, "key", limit):
             if isinstance(g, Block):
+                if final:
+                    raise ValueError(f"a unit of blocks holds more than {limit} prints")
                 n = len(g.cols["node"])
                 yield _out(1, key=np.full(n, g.key), block=np.full(n, g.number), node=g.cols["node"], fp=g.cols["fp"])
                 if g.last:
@@ -176,8 +181,8 @@ def shard_links(entries: DataFrame, radius: int, scratch: Scratch, shard: int =
     if found.where("kind = 2").limit(1).count():
         units = block_pairs(found.where("kind = 1").select("key", "block", "node", "fp"), found.where("kind = 2").select("key", "blocks"))
         units = units.select(F.col("unit").alias("key"), "node", "fp").repartition("key").sortWithinPartitions("key", "node")
-        more = units.mapInArrow(_link_shards(radius, 4 * shard, sure, more), _LINKS).where("kind = 0")
-        links = links.unionAll(more.select(F.col("node").alias("u"), F.col("other").alias("v")))
+        rest = units.mapInArrow(_link_shards(radius, 4 * shard, sure, more, final=True), _LINKS)
+        links = links.unionAll(rest.select(F.col("node").alias("u"), F.col("other").alias("v")))
     return links
 
 

@@ -4,11 +4,12 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
 from parlance.llm import embedding_dedup, line_dedup, simhash, substring_dedup
-from parlance.llm.common import Scratch, key_to_id
+from parlance.llm.common import Block, Scratch, grouped, key_to_id
 from parlance.llm.components import components
 from parlance.llm.shingles import shingle_hashes, words
 
@@ -274,3 +275,26 @@ def test_a_false_link_hides_no_true_one():
     assert simhash.forest(prints, 8) == [(0, 1), (1, 2)]
     assert simhash.forest(prints, 8, sure=1, more=4) == [(0, 1), (1, 2), (0, 2)]
     assert simhash.forest(prints, 8, sure=2, more=4) == [(0, 1), (1, 2)]
+
+
+def test_blocks_keep_to_the_limit_across_batches(spark):
+    """A hot group that goes on in the next batch is cut like any other, and all its prints are linked."""
+    key = np.repeat(np.array([1, 2, 3]), [40, 900, 5])
+    for step in (33, 100, 300, 950):
+        batches = [pa.RecordBatch.from_arrays([pa.array(key[i : i + step]), pa.array(np.arange(len(key))[i : i + step])], names=["key", "node"]) for i in range(0, len(key), step)]
+        got = [b for b in grouped(iter(batches), "key", 64) if isinstance(b, Block)]
+        assert [b.number for b in got] == list(range(15)) and [b.last for b in got] == [False] * 14 + [True]
+        assert max(len(b.cols["node"]) for b in got) <= 64
+        assert np.concatenate([b.cols["node"] for b in got]).tolist() == list(range(40, 940))
+    rng = random.Random(12)
+    center = rng.getrandbits(63)
+    prints = list({center ^ sum(1 << b for b in rng.sample(range(63), rng.randrange(9))) for _ in range(400)})
+    # The key after the hot one closes its group in the middle of a batch.
+    entries = [(k, p, p) for k, some in ((1, prints), *((k, prints[:2]) for k in range(2, 60))) for p in some]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 150)
+    try:
+        links = [(r.u, r.v) for r in simhash.shard_links(spark.createDataFrame(entries, "key long, node long, fp long").coalesce(1), 3, Scratch(spark), shard=16).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    near = [(a, b) for a, b in combinations(prints, 2) if (a ^ b).bit_count() <= 3]
+    assert classes(prints, links) == classes(prints, near)
