@@ -298,3 +298,17 @@ def test_blocks_keep_to_the_limit_across_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     near = [(a, b) for a, b in combinations(prints, 2) if (a ^ b).bit_count() <= 3]
     assert classes(prints, links) == classes(prints, near)
+
+
+def test_short_passages_near_the_similarity_are_found(spark):
+    """Passages of 54 words of which one is changed: one shared minimum is enough to compare two documents."""
+    rng = random.Random(13)
+    texts = []
+    for _ in range(200):
+        passage = prose(rng, 54).split()
+        other = [*passage[:26], "changed", *passage[27:]]
+        assert 0.8 <= similarity(" ".join(passage), " ".join(other)) < 0.83
+        texts += [f"{prose(rng, 200)} {' '.join(p)} {prose(rng, 200)}" for p in (passage, other)]
+    got = {(r.doc_id, r.source_doc_id) for r in substring_dedup.passage_report(docs(spark, texts)).collect()}
+    missed = {(i + 1, i) for i in range(0, 400, 2)} - got
+    assert not missed, f"{len(missed)} of 200"
