@@ -19,8 +19,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts lines that stood earlier in the corpus; documents made mostly of such lines are copies, left to the next stage."""
-    return line_dedup.drop_repeated_lines(docs, leave_above=0.5, length_col="n_chars")
+    """Cuts lines that stood earlier in the corpus from every document; one that has no other lines is dropped."""
+    return line_dedup.drop_repeated_lines(docs, length_col="n_chars", keep_emptied=False)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

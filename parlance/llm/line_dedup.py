@@ -289,15 +289,15 @@ def line_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     return out.select(key_to_id("doc").alias(id_col), "line_no", "line", key_to_id("first_doc").alias("class_doc"), F.col("first_line").alias("class_line"), F.col("size").alias("class_size"), kept.alias("kept"))
 
 
-def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", leave_above: float = 1.0, length_col: str | None = None, **options) -> DataFrame:
+def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", leave_above: float = 1.0, length_col: str | None = None, keep_emptied: bool = True, **options) -> DataFrame:
     """``df`` with each text cut to the lines that are the first of their class.
 
     Blank lines stay.  A document of whose lines' characters more than the
     share ``leave_above`` would go is a copy as a whole and is left as it is,
     for the deduplication of documents; at 1.0 none is left.  A text without
     repeated lines, null and empty ones too, stays untouched; one that loses
-    all its lines becomes empty.  ``length_col`` names a column with the
-    text's length, which then follows it.
+    all its lines becomes empty, or goes unless ``keep_emptied``.
+    ``length_col`` names a column with the text's length, which then follows it.
     """
     scratch = Scratch(df.sparkSession)
     classes = line_classes(df, scratch, id_col, text_col, **options)
@@ -312,6 +312,8 @@ def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     cut = F.when(F.col("doc__gone").isNotNull() & (chars(lines) - chars(kept) <= leave_above * chars(lines)), F.array_join(kept, "\n")).otherwise(F.col(text_col))
     out = joined.withColumn(text_col, cut)
+    if not keep_emptied:
+        out = out.where(F.col("doc__gone").isNull() | (F.trim(F.col(text_col), F.lit(SPACE + "\n")) != ""))
     if length_col:
         out = out.withColumn(length_col, F.when(F.col("doc__gone").isNotNull(), F.length(text_col).cast(df.schema[length_col].dataType)).otherwise(F.col(length_col)))
     return out.select(*df.columns)

@@ -47,3 +47,12 @@ def test_stages_keep_columns_and_take_empty_tables(spark, stage):
         docs = docs.where("doc_id < 100")
     out = corpus_pipeline.STAGES[stage][1](spark, docs if stage == 0 else docs.limit(0), SF)
     assert out.columns == docs.columns and (stage == 0 or out.count() == 0)
+
+
+def test_line_stage_cuts_documents_of_mostly_repeated_lines(spark):
+    """Repeated lines go from every document, also where they are most of it; a copy goes as a whole."""
+    lines = ["the first of these lines is here", "another line, quite unlike others", "a third one that differs from both"]
+    texts = ["\n".join(lines), f"{lines[0]}\n{lines[1]}\nnew", "\n".join(["one and the same line thrice over"] * 3), "\n".join(lines), "", None]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_dedup_stage(spark, docs, SF).collect()}
+    assert got == {0: (texts[0], len(texts[0])), 1: ("new", 3), 2: (texts[2].split("\n")[0], 33), 4: ("", 0), 5: (None, 0)}
