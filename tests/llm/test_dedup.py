@@ -312,3 +312,18 @@ def test_short_passages_near_the_similarity_are_found(spark):
     got = {(r.doc_id, r.source_doc_id) for r in substring_dedup.passage_report(docs(spark, texts)).collect()}
     missed = {(i + 1, i) for i in range(0, 400, 2)} - got
     assert not missed, f"{len(missed)} of 200"
+
+
+def test_passages_with_words_inserted_are_found_whole(spark):
+    """Neither half of a passage of 90 words is long enough alone; with 7 or 12 words between them the whole is alike."""
+    rng = random.Random(14)
+    texts = []
+    for i in range(40):
+        passage = prose(rng, 90).split()
+        other = [*passage[:45], *prose(rng, (7, 12)[i % 2]).split(), *passage[45:]]
+        assert similarity(" ".join(passage), " ".join(other)) >= 0.8
+        texts += [f"{prose(rng, 60)} {' '.join(p)} {prose(rng, 60)}" for p in (passage, other)]
+    got = {(r.doc_id, r.source_doc_id): r for r in substring_dedup.passage_report(docs(spark, texts)).collect()}
+    missed = {(i + 1, i) for i in range(0, 80, 2)} - set(got)
+    assert not missed, f"{len(missed)} of 40"
+    assert all(r.end_word - r.first_word >= 97 and r.similarity >= 0.8 for r in got.values())
