@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +36,23 @@ def scratch_root(spark: SparkSession) -> str:
     return _local_scratch.setdefault(sc.applicationId, "file://" + tempfile.mkdtemp(prefix="parlance-"))
 
 
+#: The scratch folders of each open :func:`released`, the innermost last.
+_scopes: list[list[Scratch]] = []
+
+
 class Scratch:
-    """Tables written to the shared folder: they cut lineage and outlive executors."""
+    """Tables written to the shared folder: they cut lineage and outlive executors.
+
+    A result may read them as long as it is used, so they stay, unless
+    :func:`released` deletes them.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.path = f"{scratch_root(spark)}/llm-{uuid.uuid4().hex}"
         self.count = 0
+        if _scopes:
+            _scopes[-1].append(self)
 
     def table(self, df: DataFrame) -> DataFrame:
         """``df`` written and read again; its path is kept for :meth:`drop`."""
@@ -52,12 +63,44 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that nothing reads any more."""
-        jvm = self.spark._jvm
         for df in tables:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(df._scratch_path)
+
+    def clear(self) -> None:
+        """Deletes all tables."""
+        self._delete(self.path)
+
+
+@contextmanager
+def released() -> Iterator[None]:
+    """Deletes at its end the scratch tables of all operators called within; their results must be written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for scratch in _scopes.pop():
+            scratch.clear()
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names for own use that ``df`` lacks in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    return [next(c for c in (f"{n}{'_' * i}" for i in range(1, len(taken) + 2)) if c not in taken) for n in names]
+
+
+def quoted(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
+
+
+def names_of(df: DataFrame) -> list[str]:
+    """The columns of ``df``, quoted."""
+    return [quoted(c) for c in df.columns]
 
 
 def text_bytes(col: str | Column) -> Column:
@@ -194,13 +237,37 @@ def block_pairs(members: DataFrame, ends: DataFrame) -> DataFrame:
 
     ``members`` has (key, block, ...), ``ends`` (key, blocks).  Any two rows of
     a group meet in a unit, and a unit holds two blocks at most, whatever the
-    size of the group.  Adds unit, lo and hi.
+    size of the group.  If ``ends`` has ``lead`` too, only pairs with one of
+    the first ``lead`` blocks are made.  Adds unit, lo and hi.
     """
+    blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
+    if "lead" in ends.columns:
+        blocks = F.when(F.col("block") < F.col("lead"), blocks).otherwise(F.sequence(F.lit(0), F.col("lead") - 1))
     return (
-        members.join(ends.select("key", "blocks"), "key")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        members.join(ends, "key")
+        .withColumn("other", F.explode(blocks))
         .withColumn("lo", F.least("block", "other"))
         .withColumn("hi", F.greatest("block", "other"))
         .withColumn("unit", F.xxhash64("key", "lo", "hi"))
-        .drop("other", "blocks")
+        .drop("other", "blocks", "lead")
     )
+
+
+def left_blocks(members: DataFrame, roots: DataFrame, block: int, scratch: Scratch) -> tuple[DataFrame, DataFrame] | None:
+    """Blocks of about ``block`` rows, for :func:`block_pairs`, of hot groups whose ``members`` (key, node) are joined in part.
+
+    ``roots`` has (node, root) of what is joined.  The first blocks of a group
+    hold what is outside its largest component, and ``lead`` is their number:
+    pairs with them are all that is left to compare.  Groups of one component
+    are left out; None says that no other is there.
+    """
+    of = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
+    sizes = of.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    groups = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("comps")).where("comps > 1")
+    lead, rest = (F.ceil(x / block).cast("int") for x in (F.col("n") - F.col("most.n"), F.col("most.n")))
+    groups = scratch.table(groups.select("key", F.col("most.comp").alias("largest"), lead.alias("lead"), (lead + rest).alias("blocks")))
+    if not groups.limit(1).count():
+        return None
+    spread = F.xxhash64("key", "node")
+    dealt = of.join(groups, "key").withColumn("block", F.when(F.col("comp") != F.col("largest"), F.pmod(spread, F.col("lead"))).otherwise(F.col("lead") + F.pmod(spread, F.col("blocks") - F.col("lead"))).cast("int"))
+    return dealt.select("key", "block", "node", "comp"), groups.select("key", "blocks", "lead")

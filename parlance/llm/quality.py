@@ -79,18 +79,18 @@ class OrdinalModel:
         return float(keep * self.tails(np.zeros(1))[0, -1])
 
 
-def fit_ordinal(features: list[np.ndarray], grades: np.ndarray, steps: int = 300, ridge: float = 0.3, rate: float = 0.1) -> OrdinalModel:
+def fit_ordinal(features: list[np.ndarray], grades: np.ndarray, steps: int = 300, ridge: float = 0.3, rate: float = 0.1, levels: int = 3) -> OrdinalModel:
     """Penalized maximum likelihood by full-batch Adam; every grade weighs the same.
 
     Features count that are more frequent in a lower grade by ``LEAST_Z``
     standard errors; all others have weight zero.  Weights are at most zero: a
     text's features can speak against it, but more words don't speak for it,
-    so scores don't grow with the length.  Raises ValueError if fewer than two
-    grades have examples.
+    so scores don't grow with the length.  If fewer than two of the ``levels``
+    grades have examples, nothing speaks against any text: all weights are
+    zero, and so are the scores.
     """
-    levels = int(grades.max()) + 1 if len(grades) else 0
     if len(np.unique(grades)) < 2:
-        raise ValueError("ratings of two grades at least are needed")
+        return OrdinalModel(np.zeros(1 << BITS), np.arange(levels - 1) - float(levels - 1))
     n = np.array([max(1, (grades == g).sum()) for g in range(levels)], float)
     counts = np.zeros((levels, 1 << BITS))
     for f, g in zip(features, grades, strict=True):
@@ -139,8 +139,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """The model of a bounded, reproducible sample of the labelled documents.
 
     Of each grade the ``sample`` ids with the smallest hash are taken.  An id
-    with several labels has its lowest grade; labels without a quality or of
-    ids that ``docs`` lacks don't count.  Only features reach the driver.
+    with several labels has its lowest grade, one with several rows the text
+    whose features come first; labels without a quality or of ids that ``docs``
+    lacks don't count.  Only features reach the driver, of ``3 * sample``
+    documents at most.  Without documents or labels, or with those of one grade
+    only, all texts score 0 (:func:`fit_ordinal`) and none is rejected.
     """
     rated = labels.select(F.col(id_col).alias("id"), grade().alias("grade")).dropna().groupBy("id").agg(F.min("grade").alias("grade"))
     chosen = None
@@ -152,11 +155,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [text_features(t) for t in batch.column("text").to_pylist()]
-            packed = pa.array([f.tobytes() for f in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("grade"), packed], names=["id", "grade", "features"])
+            for part in slices(batch, "text"):
+                packed = pa.array([text_features(t).tobytes() for t in part.column("text").to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("grade"), packed], names=["id", "grade", "features"])
 
-    rows = joined.mapInArrow(run, "id long, grade int, features binary").toArrow().sort_by([("id", "ascending"), ("grade", "ascending")])
+    rows = joined.mapInArrow(run, "id long, grade int, features binary").groupBy("id").agg(F.min("grade").alias("grade"), F.min("features").alias("features")).toArrow().sort_by([("id", "ascending"), ("grade", "ascending")])
     features = [np.frombuffer(f, np.int32) for f in rows.column("features").to_pylist()]
     return fit_ordinal(features, np.array(rows.column("grade").to_pylist(), np.int64))
 
@@ -216,19 +219,19 @@ def score_documents(df: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
 def keep_good(df: DataFrame, model: OrdinalModel, text_col: str = "text", keep: float = KEEP) -> DataFrame:
     """The rows of ``df``, with all columns, whose probability of the top grade is high enough (:meth:`OrdinalModel.least_tail`).
 
-    A null or empty text has the score 0, like one of unknown words only, and is kept.
+    A null or empty text has the score 0, like one of unknown words only, and
+    is kept.  Repeated rows are judged alike; columns of any name are kept as
+    they are; an empty table gives no rows.
     """
     least = model.least_tail(keep)
     shared = df.sparkSession.sparkContext.broadcast(model)
-    names = df.columns
-    at = names.index(text_col)
+    numbered = df.toDF(*[f"c{i}" for i in range(len(df.columns))]).withColumn("text", text_bytes(f"c{df.columns.index(text_col)}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = _scorer(shared.value)
         for batch in batches:
-            texts = batch.column(at)
-            good = [t is not None and t.encode("utf-8", "surrogateescape") or b"" for t in texts.to_pylist()]
-            p = shared.value.tails(score(good))[:, -1]
-            yield batch.filter(pa.array(p >= least))
+            for part in slices(batch, "text"):
+                p = shared.value.tails(score(part.column("text").to_pylist()))[:, -1]
+                yield part.select(part.schema.names[:-1]).filter(pa.array(p >= least))
 
-    return df.mapInArrow(run, df.schema)
+    return numbered.mapInArrow(run, numbered.drop("text").schema).toDF(*df.columns)

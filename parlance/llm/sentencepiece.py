@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, mix, slices, text_bytes
+from .common import SLICE_BYTES, mix, quoted, slices, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: A piece of rank r has the weight (r + 2) ** -SMOOTHING; higher values favour frequent pieces.
@@ -328,9 +328,9 @@ def sampler(path: str = MODEL, smoothing: float = SMOOTHING) -> Sampler:
     return Sampler(path, smoothing)
 
 
-def row_seeds(keys: list[str | None], seed: int) -> np.ndarray:
+def row_seeds(keys: list[bytes | None], seed: int) -> np.ndarray:
     """A seed for each row key; all null keys have the same."""
-    return np.array([xxhash.xxh64_intdigest(b"\x00" if k is None else b"\x01" + k.encode("utf-8", "surrogateescape"), seed) for k in keys], np.uint64)
+    return np.array([xxhash.xxh64_intdigest(b"\x00" if k is None else b"\x01" + k, seed) for k in keys], np.uint64)
 
 
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, smoothing: float = SMOOTHING, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -339,41 +339,57 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     ``lossless`` says that decoding the ids gives the text, byte for byte.  A
     null text has null in all three; an empty one has no ids.  Rows with equal
     keys and texts, and rows with null keys and equal texts, are segmented
-    alike.  Columns in ``keep`` are carried along.  ``model`` is the path of a
-    SentencePiece model with byte pieces, readable on all executors.
+    alike.  Columns in ``keep`` are carried along, but for those with the name
+    of one of the first four; an empty table gives no rows.  ``model`` is the
+    path of a SentencePiece model with byte pieces, readable on all executors.
     """
-    plain = [c for c in keep if c not in ("id", "text")]
-    key = F.col(id_col).cast("string")
-    schema = f"{id_col} {df.schema[id_col].dataType.simpleString()}, pieces int, ids array<int>, lossless boolean" + "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in plain)
+    own_names = (id_col, "pieces", "ids", "lossless")
+    taken = {c.lower() for c in own_names}
+    if len(taken) < 4:
+        raise ValueError("the id's column bears the name of a result")
+    plain = [c for c in keep if c.lower() not in taken]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sampler(model, smoothing)
         for batch in batches:
-            for part in slices(batch, "__text", SLICE_BYTES // 2):
-                texts = part.column("__text").to_pylist()
-                ids = own.encode(texts, row_seeds(part.column("__key").to_pylist(), seed))
+            for part in slices(batch, "text", SLICE_BYTES // 2):
+                texts = part.column("text").to_pylist()
+                ids = own.encode(texts, row_seeds(part.column("key").to_pylist(), seed))
                 same = [a == b for a, b in zip(own.decode(ids), texts, strict=True)]
                 n = np.array([len(x) for x in ids], np.int32)
-                null = part.column("__null").to_numpy(zero_copy_only=False)
+                null = part.column("null").to_numpy(zero_copy_only=False)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), mask=np.append(null, False))
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*ids, np.empty(0, np.int32)]), pa.int32()))
-                cols = [part.column("__id"), pa.array(n, mask=null), lists, pa.array(same, mask=null), *(part.column(f"__keep_{c}") for c in plain)]
-                yield pa.RecordBatch.from_arrays(cols, names=[id_col, "pieces", "ids", "lossless", *plain])
+                kept = [part.column(f"c{i}") for i in range(len(plain))]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, mask=null), lists, pa.array(same, mask=null), *kept], names=["id", "pieces", "ids", "lossless", *(f"c{i}" for i in range(len(plain)))])
 
-    chosen = df.select(F.col(id_col).alias("__id"), key.alias("__key"), F.col(text_col).isNull().alias("__null"), text_bytes(text_col).alias("__text"), *[F.col(c).alias(f"__keep_{c}") for c in plain])
-    return chosen.mapInArrow(run, schema)
+    # Keys that are bytes, as a string may hold others than UTF-8
+    text, key = quoted(text_col), quoted(id_col)
+    chosen = df.select(F.col(key).alias("id"), F.col(key).cast("string").cast("binary").alias("key"), F.col(text).isNull().alias("null"), text_bytes(text).alias("text"), *[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(plain)])
+    kinds = "".join(f", c{i} {chosen.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(plain)))
+    coded = chosen.mapInArrow(run, f"id {chosen.schema['id'].dataType.simpleString()}, pieces int, ids array<int>, lossless boolean{kinds}")
+    return coded.toDF(*own_names, *plain)
 
 
 def decode(df: DataFrame, ids_col: str = "ids", out: str = "text", model: str = MODEL) -> DataFrame:
-    """``df`` with the text of each array of piece ids in column ``out``, which is replaced if it is there; null stays null."""
-    names = [c for c in df.columns if c != out]
+    """``df`` with the text of each array of piece ids in column ``out``, which is replaced if it is there.
+
+    A null array gives a null text, an empty one the empty text; a null among
+    the ids, or an id that the model lacks, is an error.  Texts come back byte
+    for byte, also those that are not valid UTF-8.  Repeated rows are decoded
+    alike; other columns may have any name; an empty table gives no rows.
+    """
+    names = [c for c in df.columns if c.lower() != out.lower() or c == ids_col]
+    if ids_col.lower() == out.lower():
+        raise ValueError("the text needs a column of its own")
+    numbered = df.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(names)])
     at = names.index(ids_col)
-    schema = df.select(*names).schema.add(out, "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sampler(model)
         for batch in batches:
-            texts = [None if x is None else own.decode([np.array(x, np.int64)])[0].decode("utf-8", "surrogateescape") for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, out])
+            texts = [None if x is None else own.decode([np.array(x, np.int64)])[0] for x in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, "text"])
 
-    return df.select(*names).mapInArrow(run, schema)
+    decoded = numbered.mapInArrow(run, numbered.withColumn("text", F.lit(None).cast("binary")).schema)
+    return decoded.withColumn("text", F.col("text").cast("string")).toDF(*names, out)

@@ -14,6 +14,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_names, names_of, quoted
+
 #: A table has this many rows at most, so it can always be broadcast.
 MOST_SLOTS = 1_000_003
 #: A prime over a thousand times the usual number of shards: shares differ by under a hundredth.
@@ -70,8 +72,7 @@ def assign_shards(df: DataFrame, keys: Sequence[str], shards: Sequence[str], slo
     spark = df.sparkSession
     slot_col, shard_col = out
     base = df.drop(slot_col, shard_col)
-    taken = set(base.columns)
-    tmp = {n: next(c for c in (f"{n}{'_' * i}" for i in range(1, 99)) if c not in taken) for n in ("hash", "hot", "rows")}
+    tmp = dict(zip(("hash", "hot", "rows"), free_names(df, "hash", "hot", "rows"), strict=True))
     table = spark.createDataFrame(list(enumerate(fill_table(shards, slots))), f"`{slot_col}` int, at int")
     names = F.array(*[F.lit(s) for s in shards])
     table = table.select(slot_col, names[F.col("at")].alias(shard_col))
@@ -81,10 +82,10 @@ def assign_shards(df: DataFrame, keys: Sequence[str], shards: Sequence[str], slo
         counts = hashed.groupBy(tmp["hash"]).agg(F.count("*").alias(tmp["hot"]))
         # The threshold is a fraction of a shard, so at most len(shards) / hot_share keys pass it.
         hot = counts.join(F.broadcast(total), F.col(tmp["hot"]) > F.greatest(F.lit(1), F.col(tmp["rows"]) * hot_share / len(shards))).select(tmp["hash"], tmp["hot"])
-        spread = [c for c, kind in base.dtypes if not kind.startswith(("map", "variant"))]
+        spread = [F.col(quoted(c)) for c, kind in base.dtypes if not kind.startswith(("map", "variant"))]
         hashed = hashed.join(F.broadcast(hot), tmp["hash"], "left").withColumn(tmp["hash"], F.when(F.col(tmp["hot"]).isNull(), F.col(tmp["hash"])).otherwise(F.xxhash64(*spread, F.col(tmp["hash"])))).drop(tmp["hot"])
     placed = hashed.withColumn(slot_col, F.pmod(tmp["hash"], F.lit(slots)).cast("int"))
-    return placed.join(F.broadcast(table), slot_col, "left").select(*base.columns, slot_col, shard_col)
+    return placed.join(F.broadcast(table), slot_col, "left").select(*names_of(base), slot_col, shard_col)
 
 
 def write_shards(df: DataFrame, path: str, shard_col: str = "shard", rows_per_file: int = 1_000_000) -> None:
