@@ -95,6 +95,32 @@ def grams(words: list[bytes], most: int = 3) -> list[bytes]:
     return [b" ".join(words[i : i + n]) for n in range(1, most + 1) for i in range(len(words) - n + 1)]
 
 
+class SparseRows:
+    """Features of paragraphs: the places of each one's n-grams, whose values are 1 / sqrt(their number); and a bias of 1."""
+
+    def __init__(self, paragraphs: list[list[bytes]], features: dict[bytes, int]):
+        found = [sorted({features[g] for g in grams(words) if g in features}) for words in paragraphs]
+        self.sizes = np.array([len(f) for f in found], np.int64)
+        self.at = np.array([x for f in found for x in f], np.int64)
+        self.owner = np.repeat(np.arange(len(found)), self.sizes)
+        self.value = 1 / np.sqrt(np.maximum(self.sizes, 1))
+
+    def scores(self, weights: np.ndarray) -> np.ndarray:
+        """(paragraphs, classes) of ``weights`` (features + 1, classes), the last row the bias."""
+        out = np.tile(weights[-1], (len(self.sizes), 1))
+        some = np.flatnonzero(self.sizes)
+        if len(some):
+            starts = (np.cumsum(self.sizes) - self.sizes)[some]
+            out[some] += np.add.reduceat(weights[self.at], starts, axis=0) * self.value[some, None]
+        return out
+
+    def gradient(self, errors: np.ndarray, features: int) -> np.ndarray:
+        """The sum over paragraphs of features times errors (paragraphs, classes)."""
+        flat = errors[self.owner] * self.value[self.owner, None]
+        out = np.stack([np.bincount(self.at, flat[:, k], features) for k in range(errors.shape[1])], axis=1)
+        return np.concatenate([out, errors.sum(axis=0, keepdims=True)])
+
+
 @dataclass
 class LicenseModel:
     """``weights`` is (features + 1, classes), the last row the bias; probabilities are softmax(scores / temperature)."""
@@ -106,12 +132,7 @@ class LicenseModel:
     template_pairs: list[list[frozenset[bytes]]]
 
     def probabilities(self, paragraphs: list[list[bytes]]) -> np.ndarray:
-        x = np.zeros((len(paragraphs), len(self.features) + 1))
-        for i, words in enumerate(paragraphs):
-            at = sorted({self.features[g] for g in grams(words) if g in self.features})
-            x[i, at] = 1 / np.sqrt(max(1, len(at)))
-            x[i, -1] = 1
-        return _softmax(x @ self.weights / self.temperature)
+        return _softmax(SparseRows(paragraphs, self.features).scores(self.weights) / self.temperature)
 
     def overlap(self, words: list[bytes], family: int) -> float:
         """The largest share of a template's word pairs that the paragraph has, or of the paragraph's that a template has."""
@@ -173,41 +194,48 @@ def train(background: list[str] = (), seed: int = 7, each: int = 60, steps: int
     features = {g: i for i, g in enumerate(sorted({g for t in (*[x for f in TEMPLATES.values() for x in f], *OTHER) for g in grams(tokens(t.encode()))}))}
     model = LicenseModel([*families, UNKNOWN], features, np.zeros((len(features) + 1, len(families) + 1)), 1.0, [*template_pairs, []])
 
-    def matrix(texts: list[list[bytes]]) -> np.ndarray:
-        x = np.zeros((len(texts), len(features) + 1), np.float32)
-        for i, words in enumerate(texts):
-            at = list({features[g] for g in grams(words) if g in features})
-            x[i, at] = 1 / np.sqrt(max(1, len(at)))
-        x[:, -1] = 1
-        return x
-
     texts, classes = _examples(np.random.default_rng(seed), plain, each)
-    x, y = matrix(texts), np.eye(len(families) + 1, dtype=np.float32)[classes]
-    w = np.zeros(model.weights.shape, np.float32)
+    x, y = SparseRows(texts, features), np.eye(len(families) + 1)[classes]
+    w = np.zeros(model.weights.shape)
     velocity = np.zeros_like(w)
     for _ in range(steps):
-        gradient = x.T @ (_softmax(x @ w).astype(np.float32) - y) / len(x) + 1e-5 * w
+        gradient = x.gradient(_softmax(x.scores(w)) - y, len(features)) / len(texts) + 1e-5 * w
         velocity = 0.9 * velocity - 8.0 * gradient
         w += velocity
     held, held_classes = _examples(np.random.default_rng(seed + 1), plain, max(1, each // 3))
-    scores, right = matrix(held) @ w, np.arange(len(held))
+    scores, right = SparseRows(held, features).scores(w), np.arange(len(held))
     loss = {t: -np.log(np.maximum(_softmax(scores / t)[right, held_classes], 1e-12)).mean() for t in (0.5, 0.7, 1.0, 1.4, 2.0, 3.0)}
-    model.weights, model.temperature = w.astype(np.float64), min(loss, key=loss.get)
+    model.weights, model.temperature = w, min(loss, key=loss.get)
     return model
 
 
 def scan(df: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col: str = "text", least_probability: float = LEAST_PROBABILITY, least_overlap: float = LEAST_OVERLAP) -> DataFrame:
-    """(id, paragraph, family, probability, overlap) of each paragraph that is a licence notice.
-
-    Paragraphs are what newlines part, numbered from 0.  One counts if a family
-    is likelier than any other and the unknown class, by at least
-    ``least_probability``, and the paragraph shares ``least_overlap`` of the
-    word pairs with one of its templates.  A paragraph without a word pair of
-    any template shares nothing, so it is not scored.  Null and empty texts have
-    no paragraphs; repeated rows each give theirs; other columns don't matter.
+    """(id, paragraph, last, family, probability, overlap) of each paragraph that is a licence notice.
+
+    Lines are what newlines part, numbered from 0.  Neighbouring lines that
+    hold a word pair of some template are a run.  A run that is a notice as a
+    whole is one paragraph, so a hard-wrapped licence is judged whole;
+    otherwise, and if lines of it are notices of several families, each of its
+    lines is a paragraph.  ``paragraph`` and ``last`` are its first and last
+    line.  A paragraph is a notice if a family is likelier than any other and
+    the unknown class, by at least ``least_probability``, and it shares
+    ``least_overlap`` of the word pairs with one of the family's templates.
+    Lines without a word pair of any template share nothing, so they are not
+    scored.  Null and empty texts have no paragraphs; repeated rows each give
+    theirs; other columns don't matter; an empty table gives no rows.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
+    def judged(own: LicenseModel, paragraphs: list[list[bytes]]) -> list[tuple[str, float, float] | None]:
+        out: list[tuple[str, float, float] | None] = []
+        for begin in range(0, len(paragraphs), 500):
+            some = paragraphs[begin : begin + 500]
+            p = own.probabilities(some)
+            for words, best, most in zip(some, p.argmax(axis=1), p.max(axis=1), strict=True):
+                common = own.overlap(words, best) if own.families[best] != UNKNOWN and most >= least_probability else -1.0
+                out.append((own.families[best], float(most), common) if common >= least_overlap else None)
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         pairs = frozenset().union(*(t for f in own.template_pairs for t in f))
@@ -220,21 +248,22 @@ def scan(df: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col: s
                         words = _WORD.findall(raw)
                         if not starts.isdisjoint(words) and not pairs.isdisjoint(map(b" ".join, zip(words, words[1:], strict=False))):
                             found.append((i, k, words))
-                rows, at, family, chance, overlap = [], [], [], [], []
-                for begin in range(0, len(found), 500):
-                    some = found[begin : begin + 500]
-                    p = own.probabilities([f[2] for f in some])
-                    for (i, k, words), best, most in zip(some, p.argmax(axis=1), p.max(axis=1), strict=True):
-                        if own.families[best] == UNKNOWN or most < least_probability:
-                            continue
-                        common = own.overlap(words, best)
-                        if common >= least_overlap:
-                            for out, x in ((rows, i), (at, k), (family, own.families[best]), (chance, float(most)), (overlap, common)):
-                                out.append(x)
-                yield record(doc=part.column("doc").take(pa.array(rows, pa.int64())), paragraph=pa.array(at, pa.int32()), family=pa.array(family, pa.string()), probability=pa.array(chance, pa.float64()), overlap=pa.array(overlap, pa.float64()))
-
-    out = df.select(doc_key(id_col, text_col).alias("doc"), text_bytes(text_col).alias("text")).mapInArrow(run, "doc long, paragraph int, family string, probability double, overlap double")
-    return out.withColumn("doc", key_to_id("doc")).withColumnRenamed("doc", id_col)
+                single = judged(own, [f[2] for f in found])
+                edges = [k for k in range(len(found)) if not k or found[k][0] != found[k - 1][0] or found[k][1] != found[k - 1][1] + 1]
+                spans = [(a, b) for a, b in zip(edges, [*edges[1:], len(found)], strict=True) if b - a > 1]
+                whole = dict(zip(spans, judged(own, [[w for f in found[a:b] for w in f[2]] for a, b in spans]), strict=True))
+                rows: list[tuple[int, int, int, str, float, float]] = []
+                for a, b in zip(edges, [*edges[1:], len(found)], strict=True):
+                    all_ = whole.get((a, b))
+                    if all_ and {s[0] for s in single[a:b] if s} <= {all_[0]}:
+                        rows.append((found[a][0], found[a][1], found[b - 1][1], *all_))
+                    else:
+                        rows += [(found[k][0], found[k][1], found[k][1], *single[k]) for k in range(a, b) if single[k]]
+                at, first, last, family, chance, common = (list(c) for c in zip(*rows, strict=True)) if rows else ([] for _ in range(6))
+                yield record(doc=part.column("doc").take(pa.array(at, pa.int64())), paragraph=pa.array(first, pa.int32()), last=pa.array(last, pa.int32()), family=pa.array(family, pa.string()), probability=pa.array(chance, pa.float64()), overlap=pa.array(common, pa.float64()))
+
+    out = df.select(doc_key(id_col, text_col).alias("doc"), text_bytes(text_col).alias("text")).mapInArrow(run, "doc long, paragraph int, last int, family string, probability double, overlap double")
+    return out.select(key_to_id("doc").alias(id_col), "paragraph", "last", "family", "probability", "overlap")
 
 
 def background(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", documents: int = 200, paragraphs: int = 600) -> list[str]:
