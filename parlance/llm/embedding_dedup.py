@@ -27,11 +27,14 @@ TABLES, PROBES = 6, 4
 #: Vectors of one bucket, or block of a larger one, that are compared at once; a unit has two blocks at most.
 BUCKET = 1000
 #: Signs of rotated coordinates that must agree before vectors are fetched: a cosine of 0.98 changes 4 of 64 on average.
-SKETCH, SKETCH_RADIUS = 64, 24
+#: Signs of narrower vectors than SKETCH_WIDTH depend on each other too much to tell, so all of them are fetched.
+SKETCH, SKETCH_RADIUS, SKETCH_WIDTH = 64, 24, 16
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length 1; scaled by the largest component first, so that no square overflows or vanishes."""
     v = vectors.astype(np.float64)
+    v = v / np.abs(v).max(axis=1, keepdims=True)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
@@ -50,7 +53,7 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for label, v in zip(batch.column("label").to_pylist(), batch.column("vector").to_pylist(), strict=True):
             good = label is not None and v and None not in v
             a = np.array(v, np.float64) if good else None
-            if not good or not np.isfinite(a).all() or not a.any() or not np.isfinite(np.linalg.norm(a)):
+            if not good or not np.isfinite(a).all() or not a.any():
                 nodes.append(None)
             else:
                 h = blake2b(label.encode() + b"\x00" + (a + 0.0).tobytes(), digest_size=8)
@@ -85,7 +88,8 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 width = place.shape[1]
                 flat = np.concatenate([rotate(unit, 1000 + k) for k in range(-(-SKETCH // max(2, unit.shape[1])))], axis=1)[:, :SKETCH] > 0
                 bits = np.zeros((len(part), SKETCH), bool)
-                bits[:, : flat.shape[1]] = flat
+                if unit.shape[1] >= SKETCH_WIDTH:
+                    bits[:, : flat.shape[1]] = flat
                 sketch = np.packbits(bits, axis=1, bitorder="little").copy().view("<i8").ravel()
                 yield record(key=key.ravel(), node=np.repeat(node[part], width), place=place.ravel(), own=np.tile(np.tile(np.arange(PROBES) == 0, TABLES).astype(np.int64), len(part)), sketch=np.repeat(sketch, width))
 
