@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, doc_key, key_to_id
+from .common import Scratch, doc_key, free_names, key_to_id, names_of
 
 #: Prints that differ in at most RADIUS bits differ in at most TOLERANCE bits in one of BLOCKS blocks of 8.
 #: Windows at the similarity 0.8 differ in 10 bits on average, with a deviation of 3.
@@ -26,7 +26,6 @@ TOLERANCE = RADIUS // BLOCKS
 MOST_BROADCAST = 200_000
 #: Shingles of a window whose votes fit a lane of 16 bits.
 MOST_VOTES = 65_535
-_LANES = 0x0001000100010001
 
 
 def with_shingles(df: DataFrame, text: str, n: int, out: str = "shingles") -> DataFrame:
@@ -46,13 +45,20 @@ def with_shingles(df: DataFrame, text: str, n: int, out: str = "shingles") -> Da
 def with_simhash(df: DataFrame, shingles: str, out: str) -> DataFrame:
     """``df`` with the SimHash of an array of hashes: bit i is 1 if over half of them have it.
 
-    Sixteen sums of 64-bit words hold the votes for all bits in lanes of 16.
-    Over 65,535 shingles are an error.
+    Sums of 64-bit words hold the votes of several bits at once, in lanes of
+    16 bits, or of 32 if there are more shingles than fit.
     """
-    lanes = f"transform(sequence(0, 15), k -> aggregate({shingles}, 0L, (a, h) -> a + (shiftrightunsigned(h, k) & {_LANES}L)))"
-    summed = df.withColumn("_sums", F.when(F.size(shingles) > MOST_VOTES, F.raise_error(F.lit("a window has too many shingles")).cast("array<bigint>")).otherwise(F.expr(lanes)))
-    over_half = f"(shiftrightunsigned(get(_sums, i % 16), 16 * (i div 16)) & 65535) * 2 > size({shingles})"
-    return summed.withColumn(out, F.expr(f"aggregate(sequence(0, 63), 0L, (a, i) -> a | if({over_half}, shiftleft(1L, i), 0L))")).drop("_sums")
+
+    def sums(lane: int) -> str:
+        mask = sum(1 << k for k in range(0, 64, lane))
+        return f"transform(sequence(0, {lane - 1}), k -> aggregate({shingles}, 0L, (a, h) -> a + (shiftrightunsigned(h, k) & {mask}L)))"
+
+    def over_half(lane: int) -> str:
+        return f"(shiftrightunsigned(get(_sums, i % {lane}), {lane} * (i div {lane})) & {(1 << lane) - 1}L) * 2 > size({shingles})"
+
+    few = f"size({shingles}) <= {MOST_VOTES}"
+    summed = df.withColumn("_sums", F.expr(f"if({few}, {sums(16)}, {sums(32)})"))
+    return summed.withColumn(out, F.expr(f"aggregate(sequence(0, 63), 0L, (a, i) -> a | if(if({few}, {over_half(16)}, {over_half(32)}), shiftleft(1L, i), 0L))")).drop("_sums")
 
 
 def _blocks(fp: str) -> Column:
@@ -64,12 +70,14 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
 
 
-def _multiset(c: str) -> Column:
-    """Values told apart by their occurrence, so that sets of them count repeats."""
-    col = F.col(c)
-    plain = F.transform(col, lambda h: F.xxhash64(h, F.lit(1)))
-    told = F.transform(col, lambda h, i: F.xxhash64(h, F.size(F.filter(F.slice(col, F.lit(1), i + 1), lambda x: x == h))))
-    return F.when(F.size(F.array_distinct(col)) == F.size(col), plain).otherwise(told)
+def _with_multiset(df: DataFrame, c: str, out: str) -> DataFrame:
+    """``df`` with values told apart by their occurrence, so that sets of them count repeats; in time linear in a sorted array."""
+    runs = df.withColumn("_sorted", F.array_sort(c))
+    first = "filter(sequence(0, size(_sorted) - 1), i -> i = 0 or get(_sorted, i) <> get(_sorted, i - 1))"
+    runs = runs.withColumn("_first", F.expr(f"if(size(_sorted) = 0, cast(array() as array<int>), {first})"))
+    count = "coalesce(get(_first, k + 1), size(_sorted)) - begin"
+    told = F.expr(f"flatten(transform(_first, (begin, k) -> transform(sequence(1, {count}), n -> xxhash64(get(_sorted, begin), n))))")
+    return runs.withColumn(out, told).drop("_sorted", "_first")
 
 
 def contamination(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -88,7 +96,7 @@ def contamination(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     named = items.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("text")).where("item is not null")
     listed = with_shingles(named, "text", shingle, "hashes").where("size(hashes) > 0").distinct()
     listed = with_simhash(listed.withColumn("n", F.size("hashes")), "hashes", "fp")
-    listed = scratch.table(listed.withColumn("of_item", _multiset("hashes")))
+    listed = scratch.table(_with_multiset(listed, "hashes", "of_item"))
     # The sizes of the items that have a shingle: with them, the places where windows may begin.
     sizes = listed.select("n", F.explode("hashes").alias("h")).groupBy("h").agg(F.collect_set("n").alias("sizes"))
     docs = df.select(doc_key(id_col, text_col).alias("doc"), F.col(text_col).alias("text"))
@@ -116,7 +124,7 @@ def contamination(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     # A pair meets in several blocks; the first of them stands for it.
     agree = F.transform(F.arrays_zip(_blocks("window_fp").alias("a"), _blocks("fp").alias("b")), lambda z: F.bit_count(z["a"].bitwiseXOR(z["b"])) <= TOLERANCE)
     pairs = pairs.where(F.array_position(agree, True) - 1 == F.col("block")).select("doc", "item", "start", "window")
-    judged = pairs.join(_small(listed.select("item", "of_item")), "item").withColumn("of_window", _multiset("window"))
+    judged = _with_multiset(pairs, "window", "of_window").join(_small(listed.select("item", "of_item")), "item")
     common = F.size(F.array_intersect("of_window", "of_item"))
     judged = judged.withColumn("common", common).withColumn("similarity", F.col("common") / (F.size("of_window") + F.size("of_item") - F.col("common")))
     best = F.max(F.struct("similarity", "start", F.size("of_window").alias("size"))).alias("best")
@@ -124,12 +132,20 @@ def contamination(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
 
 
 def contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """:func:`contamination` with the id in place of the key; null for documents without one."""
+    """:func:`contamination` with the id in place of the key; null for documents without one.
+
+    Nulls, empty texts and tables, repeated rows and other columns are treated as there.
+    """
     return contamination(df, items, id_col, **options).select(key_to_id("doc").alias(id_col), F.col("item").alias("item_id"), "similarity", "first_word", "shingles")
 
 
 def drop_contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``df``, with all columns, of documents that contain no item."""
-    key = "doc__key"
+    """The rows of ``df``, with all columns, of documents that contain no item.
+
+    All rows that share the id of a document with an item go; texts without
+    words stay.  Columns of any name are kept as they are; without items all
+    rows stay, and an empty table gives no rows.
+    """
+    (key,) = free_names(df, "key")
     bad = contamination(df, items, id_col, text_col, **options).select(F.col("doc").alias(key)).distinct()
-    return df.withColumn(key, doc_key(id_col, text_col)).join(bad, key, "left_anti").select(*df.columns)
+    return df.withColumn(key, doc_key(id_col, text_col)).join(bad, key, "left_anti").select(*names_of(df))

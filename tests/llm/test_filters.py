@@ -50,7 +50,7 @@ def test_sampling_follows_the_lattice():
 
     all_ways = dict(ways(word))
     n = 20_000
-    drawn = Counter(tuple(x.tolist()) for x in sampler.encode([b"there"] * n, sentencepiece.row_seeds([str(i) for i in range(n)], 1)))
+    drawn = Counter(tuple(x.tolist()) for x in sampler.encode([b"there"] * n, sentencepiece.row_seeds([b"%d" % i for i in range(n)], 1)))
     total = sum(all_ways.values())
     assert set(drawn) <= set(all_ways)
     for way, w in all_ways.items():
@@ -98,6 +98,24 @@ def test_shard_table():
         sharding.fill_table(["a"], 8)
 
 
+def test_table_equals_a_naive_fill():
+    """Each shard in turn claims the first free slot of its whole list of preferences, written out."""
+    import xxhash
+
+    for names, slots in (([f"s{i}" for i in range(7)], 101), (["a", "b", "c"], 3), (["one"], 13), ([f"x{i}" for i in range(40)], 211)):
+        lists = []
+        for s in names:
+            offset, skip = (xxhash.xxh64_intdigest(s.encode(), k) for k in (1, 2))
+            lists.append([(offset % slots + j * (skip % max(1, slots - 1) + 1)) % slots for j in range(slots)])
+        assert all(sorted(p) == list(range(slots)) for p in lists)
+        owner = {}
+        while len(owner) < slots:
+            for k, preferred in enumerate(lists):
+                if len(owner) < slots:
+                    owner[next(p for p in preferred if p not in owner)] = k
+        assert sharding.fill_table(names, slots) == [owner[i] for i in range(slots)]
+
+
 def test_sharding(spark, tmp_path):
     names = [f"s{i}" for i in range(4)]
     rows = [(i, "x", 7, {"a": 1}) for i in range(4000)] + [(None, str(i), 7, None) for i in range(2000)] + [(5000, "hot", i, None) for i in range(2000)]
@@ -163,6 +181,45 @@ def test_license_scan(spark):
     assert licenses.scan(docs(spark, []), model).count() == 0
 
 
+HELD_OUT = {
+    "Apache-2.0": ("Copyright 2019 The Example Authors. Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License.", "This software is released under the Apache 2.0 license, see the file for details."),
+    "MIT": ("This project is licensed under the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this font software and associated documentation files, to deal in the software without restriction"),
+    "BSD": ("Use of this source code is governed by a BSD-style license found in the LICENSE file of this tree.", "Redistributions in binary form and source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    "GPL": ("This file is part of a program that you can redistribute and/or modify under the terms of the GNU General Public License as published by the Free Software Foundation.", "Licensed under the GNU General Public License, version 2."),
+    "MPL-2.0": ("This file is subject to the terms of the Mozilla Public License, v. 2.0.",),
+    "CC-BY": ("This article is licensed under a Creative Commons Attribution 4.0 International License.",),
+    "Proprietary": ("Copyright 1999 Example Corporation. All rights reserved.",),
+}
+
+
+def test_licenses_on_held_out_notices(spark):
+    """Notices that are no template, and other text with their words; a wrapped licence is one paragraph."""
+    model = licenses.train()
+    notices = [(f, t) for f, some in HELD_OUT.items() for t in some]
+    other = ["The apache people of the plains had a general council.", "A license plate was stolen from a public library.", "He reserved all rights to the table by the window and left.", "Creative writing is a common course of the university."]
+    rows = [(i, f"some line before\n\n{t}\n\nafter it") for i, (_, t) in enumerate(notices)] + [(100 + i, t) for i, t in enumerate(other)]
+    got = {r.doc_id: r.family for r in licenses.scan(docs(spark, rows), model).collect()}
+    assert sum(got.get(i) == f for i, (f, _) in enumerate(notices)) >= len(notices) - 1
+    assert not {100 + i for i in range(len(other))} & got.keys()
+    words = licenses.TEMPLATES["GPL"][1].split()
+    wrapped = "\n".join(" ".join(words[i : i + 9]) for i in range(0, len(words), 9))
+    two = "Released under the MIT License.\nLicensed under the Mozilla Public License 2.0."
+    got = [(r.doc_id, r.paragraph, r.last, r.family) for r in licenses.scan(docs(spark, [(1, f"intro\n{wrapped}\nend"), (2, two)]), model).collect()]
+    assert sorted(got) == [(1, 1, len(wrapped.split("\n")), "GPL"), (2, 0, 0, "MIT"), (2, 1, 1, "MPL-2.0")]
+
+
+def test_license_scores_equal_a_dense_product():
+    model = licenses.train()
+    paragraphs = [licenses.tokens(t.encode()) for some in HELD_OUT.values() for t in some] + [[], [b"nothing", b"known"]]
+    x = np.zeros((len(paragraphs), len(model.features) + 1))
+    for i, words in enumerate(paragraphs):
+        at = sorted({model.features[g] for g in licenses.grams(words) if g in model.features})
+        x[i, at] = 1 / np.sqrt(max(1, len(at)))
+        x[i, -1] = 1
+    z = np.exp(x @ model.weights / model.temperature)
+    assert model.probabilities(paragraphs) == pytest.approx(z / z.sum(axis=1, keepdims=True))
+
+
 def test_ordinal_model_on_held_out_texts(spark):
     rng = random.Random(2)
 
@@ -194,8 +251,35 @@ def test_ordinal_model_on_held_out_texts(spark):
     assert np.allclose(same.weights, model.weights)
     odd = quality.score_documents(docs(spark, [(1, None), (2, ""), (None, "w1"), (3, "w " * 100_000)]), model).collect()
     assert len(odd) == 4 and quality.keep_good(docs(spark, []), model).count() == 0
-    with pytest.raises(ValueError):
-        quality.train(train, rated.limit(0))
+    for empty in (quality.train(train, rated.limit(0)), quality.train(train.limit(0), rated), quality.train(train, rated.where("quality = 0"))):
+        assert len(empty.thresholds) == 2 and quality.keep_good(train, empty).count() == 600
+        assert {r.score for r in quality.score_documents(train, empty).collect()} == {0.0}
+
+
+def test_ordinal_fit_equals_an_independent_optimum():
+    """The same penalized likelihood, written plainly and minimized by projected descent with numerical gradients."""
+    rng = np.random.default_rng(3)
+    grades = np.repeat([0, 1, 2], 120)
+    chance = {7: (0.9, 0.5, 0.1), 8: (0.8, 0.1, 0.1), 9: (0.5, 0.5, 0.5)}
+    features = [np.array([f for f, p in chance.items() if rng.random() < p[g]], np.int32) for g in grades]
+    model = quality.fit_ordinal(features, grades, steps=3000, rate=0.03)
+    assert model.weights[9] == 0 and np.flatnonzero(model.weights).tolist() == [7, 8]
+    x = np.array([[7 in f, 8 in f] for f in features], float)
+
+    def loss(v):
+        theta = np.array([v[2], v[2] + np.exp(v[3])])
+        above = 1 / (1 + np.exp(-(x @ v[:2])[:, None] + theta))
+        full = np.concatenate([np.ones((len(x), 1)), above, np.zeros((len(x), 1))], axis=1)
+        p = full[np.arange(len(x)), grades] - full[np.arange(len(x)), grades + 1]
+        return -np.log(p).sum() / len(x) + 0.15 * (v[:2] ** 2).sum() / len(x)
+
+    v = np.array([-0.1, -0.1, -1.0, 0.0])
+    for _ in range(6000):
+        g = np.array([(loss(v + 1e-5 * e) - loss(v - 1e-5 * e)) / 2e-5 for e in np.eye(4)])
+        v -= 0.3 * g
+        v[:2] = np.minimum(v[:2], 0)
+    assert model.weights[[7, 8]] == pytest.approx(v[:2], abs=0.02)
+    assert model.thresholds == pytest.approx([v[2], v[2] + np.exp(v[3])], abs=0.02)
 
 
 def tokens(text):
@@ -255,9 +339,69 @@ def test_contamination_equals_brute_force(spark):
     assert decontaminate.contaminated(frame.limit(0), bench).count() == 0 and decontaminate.contaminated(frame, bench.limit(0)).count() == 0
 
 
+def test_very_long_items(spark):
+    """An item of more shingles than a lane of 16 bits counts, with repeats, in documents that hold it whole, nearly, or not."""
+    rng = random.Random(5)
+    item = [f"w{rng.randrange(9)}" for _ in range(100_000)]
+    near = list(item)
+    for i in range(0, 100_000, 100):
+        near[i] = "x"
+    rows = [(1, "a b c " + " ".join(item) + " d"), (2, " ".join(near)), (3, "w1 w2 w3"), (4, " ".join(item[:50_000])), (5, "w1 " * 70_000)]
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, "w1 " * 80_000)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.similarity, r.first_word) for r in decontaminate.contaminated(docs(spark, rows), bench).collect()}
+    assert got.keys() == {(1, 7), (2, 7), (5, 8)} and got[1, 7] == (1.0, 3) and 0.85 < got[2, 7][0] < 0.95
+    assert got[5, 8][0] == pytest.approx((70_000 - 4) / (80_000 - 4))
+
+
 def test_native_main_path(spark):
     """No Python in the plans of the operators that must be native."""
     frame = spark.createDataFrame([(1, "http://a.com/en/")], "page_id long, url string")
     for df in (url_filter.judge_urls(frame, "url", url_filter.rule_table(spark, RULES)), decontaminate.with_simhash(decontaminate.with_shingles(docs(spark, [(1, "a b c")]), "text", 5), "shingles", "fp")):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
+CLASH = "doc_id long, text string, doc__key long, Key_ string, Rule_ string, rule_verdict string, host_ string, HASH_ long, hot_ long, id string, pieces string, `a.b` int"
+
+
+def clashing(spark, texts):
+    return spark.createDataFrame([(i, t, 777, "k", "r", "v", "h", 5, 6, "i", "p", 8) for i, t in enumerate(texts)], CLASH)
+
+
+@needs_model
+def test_columns_of_clashing_names_stay_as_they_are(spark):
+    texts = ["one two three four five six seven", "http://x.com/en/1", "", None]
+    frame = clashing(spark, texts)
+    own = sorted(map(tuple, frame.collect()))
+    bench = spark.createDataFrame([(1, "eight nine ten eleven twelve thirteen")], "item_id long, text string")
+    judged = url_filter.judge_urls(frame, "text", url_filter.rule_table(spark, RULES))
+    model = quality.OrdinalModel(np.zeros(1 << quality.BITS), np.array([-2.0, -1.0]))
+    sharded = sharding.assign_shards(frame, ["doc_id"], ["a", "b"], 7)
+    for out in (judged, sharded, decontaminate.drop_contaminated(frame, bench), quality.keep_good(frame, model)):
+        assert out.columns[: len(frame.columns)] == frame.columns
+        assert sorted(tuple(r)[: len(frame.columns)] for r in out.collect()) == own
+    assert {r.doc_id: r.verdict for r in judged.collect()} == {0: "allow", 1: "block", 2: "allow", 3: "allow"}
+    coded = sentencepiece.encode(frame, keep=tuple(frame.columns))
+    assert coded.columns == ["doc_id", "pieces", "ids", "lossless", *[c for c in frame.columns if c not in ("doc_id", "pieces")]]
+    back = sentencepiece.decode(coded)
+    assert back.columns == [c for c in coded.columns if c != "text"] + ["text"]
+    assert sorted((r.doc_id, r.text) for r in back.collect()) == list(enumerate(texts))
+    other = sentencepiece.encode(frame, id_col="Key_")
+    assert other.count() == 4 and sentencepiece.encode(frame, id_col="a.b").columns[0] == "a.b"
+
+
+@needs_model
+def test_texts_that_are_not_utf8(spark):
+    frame = docs(spark, [(1, "abc def"), (2, ""), (3, None)]).selectExpr("doc_id", "cast(unhex(concat(hex(text), '80FF')) as string) text", "node")
+    want = {r.doc_id: r.h for r in frame.selectExpr("doc_id", "hex(text) h").collect()}
+    coded = sentencepiece.encode(frame)
+    assert {r.doc_id: r.lossless for r in coded.collect()} == {1: True, 2: True, 3: None}
+    assert {r.doc_id: r.h for r in sentencepiece.decode(coded).selectExpr("doc_id", "hex(text) h").collect()} == want
+    by_bytes = frame.selectExpr("text as doc_id", "node as text")
+    assert sentencepiece.encode(by_bytes).count() == 3
+    model = quality.OrdinalModel(np.zeros(1 << quality.BITS), np.array([-2.0, -1.0]))
+    assert {r.doc_id: r.h for r in quality.keep_good(frame, model).selectExpr("doc_id", "hex(text) h").collect()} == want
+    bench = spark.createDataFrame([(1, "abc def")], "item_id long, text string")
+    assert decontaminate.drop_contaminated(frame, bench).count() in (2, 3)
+    assert licenses.scan(frame, licenses.train()).count() == 0
+    assert url_filter.judge_urls(frame, "text", url_filter.rule_table(spark, RULES)).count() == 3
