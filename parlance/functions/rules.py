@@ -14,11 +14,11 @@ AUXILIARIES = (
     "é são estou tenho tem pode deve"
 ).split()
 OPEN_ENDS = (
-    r"(?:want(?:ed)?|need(?:ed)?|try(?:ing|ied)?|going|used)\s+to\s*$",
-    r"(?:because|although|unless|while|when|if)\s+[^.!?]{0,80}$",
-    r"(?:quiero|quería|necesito|trato|voy)\s+(?:a|de)\s*$",
-    r"(?:porque|aunque|mientras|cuando|si)\s+[^.!?]{0,80}$",
-    r"(?:quero|queria|preciso|tento|vou)\s+(?:a|de)\s*$",
+    r"\b(?:want(?:ed)?|need(?:ed)?|try(?:ing|ied)?|going|used)\s+to\s*$",
+    r"\b(?:because|although|unless|while|when|if)\s+[^.!?]{0,80}$",
+    r"\b(?:quiero|quería|necesito|trato|voy)\s+(?:a|de)\s*$",
+    r"\b(?:porque|aunque|mientras|cuando|si)\s+[^.!?]{0,80}$",
+    r"\b(?:quero|queria|preciso|tento|vou)\s+(?:a|de)\s*$",
 )
 FINITE_VERBS = (
     "am is are was were have has had do does did can could will would should want need think feel know mean went said made works? matters? "

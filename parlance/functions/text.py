@@ -43,7 +43,7 @@ def likely_incomplete(c: Column) -> Column:
     last = F.element_at(words, -1)
     open_end = F.lit(False)
     for p in rules.OPEN_ENDS:
-        open_end = open_end | clean.rlike(rf"(?iU)\b{p}")
+        open_end = open_end | clean.rlike(f"(?iU){p}")
     finite = clean.rlike(rf"(?iU)\b(?:{_any(rules.FINITE_VERBS)})\b")
     return (
         F.when(clean == "", True)
@@ -256,3 +256,13 @@ def without_artifacts(translated: Column, original: Column) -> Column:
     out = strip(F.regexp_replace(translated, r"(?iU)^[-—–]\s*¿Qué\?\s*[-—–]?\s*", ""))
     added = ~F.coalesce(original, F.lit("")).rlike("^[-—–]") & out.rlike("^[-—–]")
     return F.when(added, strip(F.regexp_replace(out, r"^[-—–]\s*", ""))).otherwise(out)
+
+
+def clean_source(c: Column, glossary: dict[str, str]) -> Column:
+    """English text for translation: collapsed, and whole terms of the glossary replaced in any case, where the replacement is ASCII."""
+    out = collapse(F.coalesce(c, F.lit("")))
+    for term, to in glossary.items():
+        if term and to.isascii() and not term.startswith("__"):
+            literal = "".join("\\" + ch if ch in r"\.^$|?*+()[]{}" else ch for ch in term)
+            out = F.regexp_replace(out, rf"(?iU)\b{literal}\b", to.replace("\\", "\\\\").replace("$", "\\$"))
+    return out

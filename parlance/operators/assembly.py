@@ -6,16 +6,20 @@ closes the one before.  Rows of a session are taken by sequence and start.
 
 Rows are (session_id, sequence_id, speaker_id, text, start_s, end_s, pause_ms,
 is_partial, confidence), and may have words (word, start and end from the
-fragment's start) and processed_s and voice_s: a row with the latter is no
-fragment but tells up to where audio was heard and where the last voice ended.
-A null speaker is one speaker; a null pause is 0, a null confidence 1.
+fragment's start), asr_s (seconds that recognition took), captured_s (when the
+fragment's end was captured), is_overlap, and processed_s and voice_s: a row
+with the latter is no fragment but tells up to where audio was heard and where
+the last voice ended.  A null speaker is one speaker; a null pause is 0, a null
+confidence 1.  An utterance has the sum of asr_s, the latest captured_s, and
+whether any fragment overlaps another voice.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -26,10 +30,10 @@ from ..functions import rules
 from ..functions import text as T
 from .providers import Recognizer, recognized
 
-OUTPUT = "session_id long, utterance long, speaker_id string, start_s double, end_s double, text string, reason string, score double, fragments int, interrupted boolean, complete boolean, confidence double, parts array<struct<sequence_id: long, start_s: double, end_s: double>>, words array<struct<word: string, start_s: double, end_s: double>>"
-COLUMNS = ["session_id", "utterance", "speaker_id", "start_s", "end_s", "text", "reason", "score", "fragments", "interrupted", "complete", "confidence", "parts", "words"]
+OUTPUT = "session_id long, utterance long, speaker_id string, start_s double, end_s double, text string, reason string, score double, fragments int, interrupted boolean, complete boolean, confidence double, parts array<struct<sequence_id: long, start_s: double, end_s: double>>, words array<struct<word: string, start_s: double, end_s: double>>, asr_s double, captured_s double, is_overlap boolean"
+COLUMNS = ["session_id", "utterance", "speaker_id", "start_s", "end_s", "text", "reason", "score", "fragments", "interrupted", "complete", "confidence", "parts", "words", "asr_s", "captured_s", "is_overlap"]
 _FINITE = re.compile(rf"\b(?:{'|'.join(rules.FINITE_VERBS)})\b", re.I)
-_OPEN = [re.compile(r"\b" + p, re.I) for p in rules.OPEN_ENDS]
+_OPEN = [re.compile(p, re.I) for p in rules.OPEN_ENDS]
 _LAST = frozenset(rules.CONNECTORS) | frozenset(rules.AUXILIARIES)
 
 
@@ -90,6 +94,9 @@ class Turn:
     partial: bool = False
     pieces: list[dict] = field(default_factory=list)
     words: list[dict] = field(default_factory=list)
+    asr: float = 0.0
+    captured: float | None = None
+    overlap: bool = False
 
 
 class Assembler:
@@ -100,6 +107,16 @@ class Assembler:
         self.last: str | None = None
         self.count = 0
 
+    def state(self) -> str:
+        """All that is open, as JSON that names its fields; see :meth:`of`."""
+        return json.dumps({"turns": {k: asdict(t) for k, t in self.turns.items()}, "last": self.last, "count": self.count}, default=lambda x: x.item())
+
+    @classmethod
+    def of(cls, state: str) -> Assembler:
+        read, new = json.loads(state), cls()
+        new.turns, new.last, new.count = {k: Turn(**t) for k, t in read["turns"].items()}, read["last"], read["count"]
+        return new
+
     def _close(self, speaker: str, reason: str, interrupted: bool = False, changed: bool = False) -> list[dict]:
         turn = self.turns.pop(speaker, None)
         if turn is None:
@@ -111,11 +128,11 @@ class Assembler:
                 "utterance": self.count, "speaker_id": speaker, "start_s": turn.start, "end_s": turn.end, "text": text, "reason": reason,
                 "score": score(text, turn.pause, changed, turn.end - turn.start), "fragments": len(turn.parts), "interrupted": interrupted,
                 "complete": not interrupted and not incomplete(text), "confidence": sum(turn.confidence) / len(turn.confidence),
-                "parts": turn.pieces, "words": turn.words,
+                "parts": turn.pieces, "words": turn.words, "asr_s": turn.asr, "captured_s": turn.captured, "is_overlap": turn.overlap,
             }
         ]
 
-    def add(self, speaker: str, text: str, start: float, end: float, pause_ms: float = 0, partial: bool = False, confidence: float = 1.0, words: list[tuple[str, float, float]] | None = None, sequence: int = 0) -> list[dict]:
+    def add(self, speaker: str, text: str, start: float, end: float, pause_ms: float = 0, partial: bool = False, confidence: float = 1.0, words: list[tuple[str, float, float]] | None = None, sequence: int = 0, asr_s: float = 0.0, captured_s: float | None = None, overlap: bool = False) -> list[dict]:
         """Utterances that a fragment completes."""
         text = " ".join((text or "").split())
         if not text:
@@ -133,11 +150,15 @@ class Assembler:
         parts = sentences(text, start, end, words or [])
         for k, (piece, begin, until, spoken) in enumerate(parts):
             last = k == len(parts) - 1
+            turn = self.turns.setdefault(speaker, Turn(begin, until))
+            # A fragment's time of recognition counts once, with its first piece
+            turn.asr, turn.overlap = turn.asr + (asr_s if not k else 0.0), turn.overlap or overlap
+            turn.captured = captured_s if turn.captured is None else max(turn.captured, turn.captured if captured_s is None else captured_s)
             out += self._append(speaker, piece, begin, until, pause_ms if last else rules.SENTENCE_PAUSE, partial and last, confidence, spoken, sequence, last)
         return out
 
     def _append(self, speaker: str, text: str, start: float, end: float, pause_ms: float, partial: bool, confidence: float, words: list[tuple[str, float, float]], sequence: int, last: bool) -> list[dict]:
-        turn = self.turns.setdefault(speaker, Turn(start, end))
+        turn = self.turns[speaker]
         turn.parts.append(text)
         turn.confidence.append(confidence)
         turn.pieces.append({"sequence_id": sequence, "start_s": start, "end_s": end})
@@ -179,7 +200,7 @@ def feed(machine: Assembler, pdf: pd.DataFrame) -> list[dict]:
             out += machine.progress(heard, given(r.voice_s, 0.0))
         elif isinstance(r.text, str):
             spoken = [(w["word"] or "", given(w["start"], float("nan")), given(w["end"], float("nan"))) for w in (words if words is not None else [])]
-            out += machine.add(given(r.speaker_id, "unknown"), r.text, r.start_s, r.end_s, given(r.pause_ms, 0.0), bool(given(r.is_partial, False)), given(r.confidence, 1.0), spoken, r.sequence_id)
+            out += machine.add(given(r.speaker_id, "unknown"), r.text, r.start_s, r.end_s, given(r.pause_ms, 0.0), bool(given(r.is_partial, False)), given(r.confidence, 1.0), spoken, r.sequence_id, given(getattr(r, "asr_s", None), 0.0), given(getattr(r, "captured_s", None), None), bool(given(getattr(r, "is_overlap", None), False)))
     return out
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -48,11 +49,11 @@ def same_utterance(a, b) -> bool:
 
 
 def worth(row) -> float:
-    """Words, less three for each said twice in a row, plus the confidence, less 2.5 for a cut-off last letter."""
+    """Words, less three for each said twice in a row, plus the confidence (none is 0), less 2.5 for a cut-off last letter."""
     w = (row.text or "").split()
     again = sum(p.lower() == q.lower() for p, q in zip(w, w[1:], strict=False))
     cut = bool(w) and len(w[-1]) == 1 and w[-1].lower() not in "aiyoeu"
-    return len(w) - 3 * again + row.confidence - 2.5 * cut
+    return len(w) - 3 * again + (0.0 if pd.isna(row.confidence) else row.confidence) - 2.5 * cut
 
 
 def _whole(df: DataFrame, keys: list[str], choose) -> DataFrame:
@@ -64,21 +65,29 @@ def _whole(df: DataFrame, keys: list[str], choose) -> DataFrame:
     return df.groupBy(*keys).applyInPandas(run, schema)
 
 
+class Heard(NamedTuple):
+    """A kept row, as far as later ones are compared with it."""
+
+    text: str | None
+    start_s: float
+    end_s: float
+
+
+def novel(pdf: pd.DataFrame, kept: list[Heard]) -> tuple[list, list[Heard]]:
+    """(indices of rows that don't repeat a kept one, what is kept for later rows), by start and end."""
+    out: list = []
+    for r in pdf.sort_values(["start_s", "end_s"], kind="stable").itertuples():
+        kept = [k for k in kept if r.start_s - k.end_s < KEEP_S]
+        near = [k for k in kept if min(k.end_s, r.end_s) > max(k.start_s, r.start_s) or abs(k.start_s - r.start_s) <= SAME_START]
+        if not any(similarity(r.text, k.text) >= SUPPRESS for k in near):
+            out.append(r.Index)
+            kept = [*kept, Heard(r.text, float(r.start_s), float(r.end_s))]
+    return out, kept
+
+
 def suppress_repeats(utterances: DataFrame) -> DataFrame:
     """Rows (session_id, speaker_id, text, start_s, end_s) that don't repeat a kept one of the speaker within KEEP_S seconds."""
-
-    def choose(pdf: pd.DataFrame) -> list:
-        kept: list = []
-        open_: list = []
-        for r in pdf.sort_values(["start_s", "end_s"], kind="stable").itertuples():
-            open_ = [k for k in open_ if r.start_s - k.end_s < KEEP_S]
-            near = [k for k in open_ if min(k.end_s, r.end_s) > max(k.start_s, r.start_s) or abs(k.start_s - r.start_s) <= SAME_START]
-            if not any(similarity(r.text, k.text) >= SUPPRESS for k in near):
-                kept.append(r.Index)
-                open_.append(r)
-        return kept
-
-    return _whole(utterances, ["session_id", "speaker_id"], choose)
+    return _whole(utterances, ["session_id", "speaker_id"], lambda pdf: novel(pdf, [])[0])
 
 
 def resolve_channels(transcripts: DataFrame) -> DataFrame:

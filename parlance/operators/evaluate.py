@@ -21,15 +21,16 @@ def words(text: str | None) -> list[str]:
 
 
 def common_length(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence; a row of the table is one vector step."""
-    if not a or not b:
-        return 0
-    y = np.array(b, object)
-    row = np.zeros(len(b) + 1, np.int64)
-    for x in a:
-        row[1:] = np.maximum(row[1:], row[:-1] + (y == x))
-        row = np.maximum.accumulate(row)
-    return int(row[-1])
+    """Length of the longest common subsequence; a row of the table is one integer, a bit for each word of ``a``."""
+    places: dict[str, int] = {}
+    for i, w in enumerate(a):
+        places[w] = places.get(w, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    open_ = full
+    for w in b:
+        if match := open_ & places.get(w, 0):
+            open_ = (open_ + match | open_ - match) & full
+    return len(a) - open_.bit_count()
 
 
 def complete(reference: str, output: str) -> bool:
@@ -68,14 +69,12 @@ def evaluate(truth: DataFrame, outputs: DataFrame) -> DataFrame:
         whole = [complete(x or "", y) if y else False for x, y in zip(t["text"], texts, strict=True)]
         reference, said = words(" ".join(t["text"].fillna(""))), words(" ".join(o["text"].fillna("")))
         merged = 0
-        for r in o.itertuples():
-            w = words(r.text)
-            who = set()
-            for s in t[(t["start_s"] < r.end_s) & (t["end_s"] > r.start_s)].itertuples():
-                mine = words(s.text)
-                if w and common_length(mine, w) >= (1 if len(mine) <= 3 else 2):
-                    who.add(s.speaker_id)
-            merged += len(who) > 1
+        said_by = [words(x) for x in t["text"]]
+        starts, ends, who = t["start_s"].to_numpy(float), t["end_s"].to_numpy(float), t["speaker_id"].tolist()
+        for start, end, text in zip(o["start_s"], o["end_s"], o["text"], strict=True):
+            w = words(text)
+            near = np.flatnonzero((starts < end) & (ends > start)) if w else ()
+            merged += len({who[k] for k in near if common_length(said_by[k], w) >= (1 if len(said_by[k]) <= 3 else 2)}) > 1
         heard = [bool(y and y.strip()) for y in texts]
         row = (key[0], len(t), heard.count(False), sum(short), sum(a and b for a, b in zip(short, heard, strict=True)), sum(whole), common_length(reference, said) / max(1, len(reference)), int(sum(bool((x or "").strip()) for x in o["text"])), merged)
         return pd.DataFrame([row], columns=columns)

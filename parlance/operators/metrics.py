@@ -92,6 +92,13 @@ def latency_summary(samples: DataFrame, key: str, order: str, value: str, last:
     return recent.groupBy(key).agg(F.avg(value).alias("mean"), F.percentile(value, F.lit(0.95)).alias("p95"), F.max(value).alias("max"), F.count("*").alias("samples"))
 
 
+def running_latency(items: DataFrame, key: str, order: str, *stages: str) -> DataFrame:
+    """(key, processed, last_<stage>, avg_<stage>) of latencies in seconds: the last and the mean of each stage in ms, to one place."""
+    last = lambda c: F.round(F.max_by(F.col(c) * 1000, order), 1).alias(f"last_{c}")
+    mean = lambda c: F.round(F.avg(F.col(c) * 1000), 1).alias(f"avg_{c}")
+    return items.groupBy(key).agg(F.count("*").alias("processed"), *[f(c) for c in stages for f in (last, mean)])
+
+
 def missing_words(reference: Column, hypothesis: Column) -> Column:
     """Of two arrays of words, those of the first that the second lacks, in order, repeats kept."""
     return F.filter(reference, lambda w: ~F.array_contains(hypothesis, w))

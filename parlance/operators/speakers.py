@@ -29,8 +29,11 @@ def match(vectors: DataFrame, known: DataFrame, id_col: str = "vec_id", vector:
     if known.limit(MOST_PROFILES + 1).count() > MOST_PROFILES:
         raise ValueError(f"more than {MOST_PROFILES} profiles")
     listed = known.agg(F.sort_array(F.collect_list(F.struct("speaker", "centroid"))).alias("known"))
-    scored = vectors.select(id_col, vector).join(F.broadcast(listed)).select(id_col, F.transform("known", lambda k: F.struct(similarity(F.col(vector), k["centroid"]).alias("score"), (-k["speaker"]).alias("back"))).alias("s"))
-    best = scored.select(id_col, F.sort_array("s", asc=False).alias("s")).select(id_col, (-F.get("s", F.lit(0))["back"]).alias("speaker"), F.get("s", F.lit(0))["score"].alias("score"), F.coalesce(F.get("s", F.lit(1))["score"], F.lit(0.0)).alias("second"))
+    # The place in the sorted list, counted back, puts the first of equal scores first whatever a speaker's key is.
+    scored = vectors.select(id_col, vector).join(F.broadcast(listed)).select(id_col, "known", F.transform("known", lambda k, i: F.struct(similarity(F.col(vector), k["centroid"]).alias("score"), (-i).alias("back"))).alias("s"))
+    ranked = scored.select(id_col, "known", F.sort_array("s", asc=False).alias("s"))
+    first = F.get("s", F.lit(0))
+    best = ranked.select(id_col, F.get("known", -first["back"])["speaker"].alias("speaker"), first["score"].alias("score"), F.coalesce(F.get("s", F.lit(1))["score"], F.lit(0.0)).alias("second"))
     return best.withColumn("accepted", (F.col("score") >= least) | ((F.col("score") >= near) & (F.col("score") - F.col("second") >= margin)))
 
 

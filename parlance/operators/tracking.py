@@ -8,8 +8,9 @@ and in streams.  Time is the time of the audio.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -75,6 +76,17 @@ class Tracker:
     waiting: np.ndarray | None = None
     until: float | None = None
 
+    def state(self) -> str:
+        """All that is known, as JSON that names its fields; see :meth:`of`."""
+        return json.dumps(asdict(self), default=lambda x: x.tolist())
+
+    @classmethod
+    def of(cls, state: str) -> Tracker:
+        read = json.loads(state)
+        vector = lambda v: None if v is None else np.array(v)
+        known = {k: Profile(vector(p["centre"]), [vector(x) for x in p["recent"]], p["pitches"], p["heard"]) for k, p in read.pop("known").items()}
+        return cls(known=known, waiting=vector(read.pop("waiting")), **read)
+
     def _name(self) -> str:
         self.made += 1
         return f"SPEAKER_{self.made:02d}"

@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import rules
+from ..functions import arrays, rules
 from ..functions import text as T
 from ..functions.continuity import continuity
 from ..functions.loss import loss
-from ..operators import assembly, context, duplicates, evaluate, history, intervals, merging, metrics, providers, speakers, tracking
+from ..operators import assembly, context, duplicates, evaluate, history, intervals, merging, metrics, providers, routing, speakers, tracking
+from ..sources.history import without_session
 from ..sources.tables import captions, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -141,24 +142,27 @@ def _incomplete_sql(x: str) -> str:
 WHEN {opened} THEN true WHEN len({words}) = 0 THEN true WHEN {words}[-1] IN ({last}) THEN true ELSE len({words}) >= 2 AND NOT {finite} END"""
 
 
-_CUT = r"trim(regexp_replace(left(text, 20 + CAST(doc_id % 60 AS INTEGER)), '\s+', ' ', 'g'))"
+_LINES = r"l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), x AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS line, trim(regexp_replace(unnest(l), '\s+', ' ', 'g')) AS c FROM l)"
 
 
-@query(f"WITH x AS (SELECT doc_id, {_CUT} AS c FROM documents) SELECT doc_id, {_incomplete_sql('c')} AS incomplete FROM x")
+def _lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Every line of every document, whole."""
+    return table(spark, folder, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+
+
+@query(f"WITH {_LINES} SELECT doc_id, line, {_incomplete_sql('c')} AS incomplete FROM x")
 def likely_incomplete(spark: SparkSession, folder: str) -> DataFrame:
-    cut = F.left(F.col("text"), (20 + F.col("doc_id") % 60).cast("int"))
-    return table(spark, folder, "documents").select("doc_id", T.likely_incomplete(cut).alias("incomplete"))
+    return _lines(spark, folder).select("doc_id", "line", T.likely_incomplete(F.col("text")).alias("incomplete"))
 
 
-@query(f"""WITH x AS (SELECT doc_id, {_CUT} AS c, CAST(doc_id * 37 % 1200 AS DOUBLE) AS p, doc_id % 2 AS ch, CAST(doc_id % 25 AS DOUBLE) AS d FROM documents), y AS (SELECT *, {_incomplete_sql('c')} AS inc FROM x)
-SELECT doc_id, round(0.32 * CASE WHEN p < 250 THEN 0.0 WHEN p < 650 THEN 0.25 + 0.35 * (p - 250) / 400 WHEN p < 900 THEN 0.8 + 0.2 * (p - 650) / 250 ELSE 1 END::DOUBLE
+@query(f"""WITH {_LINES}, z AS (SELECT *, CAST((doc_id * 37 + line * 101) % 1200 AS DOUBLE) AS p, doc_id % 2 AS ch, CAST((doc_id + line) % 25 AS DOUBLE) AS d FROM x), y AS (SELECT *, {_incomplete_sql('c')} AS inc FROM z)
+SELECT doc_id, line, round(0.32 * CASE WHEN p < 250 THEN 0.0 WHEN p < 650 THEN 0.25 + 0.35 * (p - 250) / 400 WHEN p < 900 THEN 0.8 + 0.2 * (p - 650) / 250 ELSE 1 END::DOUBLE
  + 0.22::DOUBLE * CASE WHEN regexp_matches(c, '(?:[,:;…]|\\.\\.\\.)$') THEN 0.0 WHEN regexp_matches(c, '[.?!]$') THEN 1.0 ELSE 0.25 END::DOUBLE
  + 0.28::DOUBLE * CASE WHEN inc THEN 0.0 ELSE 0.85 END::DOUBLE + 0.12::DOUBLE * ch + 0.06::DOUBLE * least(1.0::DOUBLE, d / 18), 4) AS score FROM y""")
 def completion_scores(spark: SparkSession, folder: str) -> DataFrame:
-    d = F.col("doc_id")
-    cut = F.left(F.col("text"), (20 + d % 60).cast("int"))
-    score = T.completion_score(cut, (d * 37 % 1200).cast("double"), d % 2 == 1, (d % 25).cast("double"))
-    return table(spark, folder, "documents").select("doc_id", score.alias("score"))
+    d, k = F.col("doc_id"), F.col("line")
+    score = T.completion_score(F.col("text"), ((d * 37 + k * 101) % 1200).cast("double"), d % 2 == 1, ((d + k) % 25).cast("double"))
+    return _lines(spark, folder).select("doc_id", "line", score.alias("score"))
 
 
 @query("SELECT event_type, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.95), 6) AS p95, max(value) AS max, count(*) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS k FROM events) WHERE k <= 100 GROUP BY 1")
@@ -225,7 +229,17 @@ def speaker_match(spark: SparkSession, folder: str) -> DataFrame:
     return speakers.match(e, speakers.profiles(e)).withColumn("score", F.round("score", 5)).withColumn("second", F.round("second", 5))
 
 
-@query()
+_ACCENTED, _PLAIN = "éèñßêçíüöóä", "ABCDEFGHIJK"  # DuckDB counts edits of bytes; after lower(), capitals are free to stand for letters of two bytes
+
+
+@query(rf"""WITH RECURSIVE {CAPTIONS}, p AS (SELECT *, lag(original) OVER (PARTITION BY session_id ORDER BY id) AS before FROM cap),
+w AS (SELECT session_id, id, regexp_extract_all(lower(original), '{WORD}') AS r, regexp_extract_all(lower(before), '{WORD}') AS h, translate(lower(regexp_replace(original, '^\s+|\s+$', '', 'g')), '{_ACCENTED}', '{_PLAIN}') AS a, translate(lower(regexp_replace(before, '^\s+|\s+$', '', 'g')), '{_ACCENTED}', '{_PLAIN}') AS b FROM p WHERE before IS NOT NULL),
+d AS (SELECT session_id, id, CAST(0 AS BIGINT) AS i, j, CAST(j AS BIGINT) AS v FROM w, unnest(range(len(h) + 1)) AS t(j)
+  UNION ALL SELECT session_id, id, i + 1, j, CAST(j + min(m - j) OVER (PARTITION BY session_id, id ORDER BY j ROWS UNBOUNDED PRECEDING) AS BIGINT) FROM
+  (SELECT d.session_id, d.id, d.i, d.j, least(d.v + 1, coalesce(lag(d.v) OVER (PARTITION BY d.session_id, d.id ORDER BY d.j) + CASE WHEN w.r[d.i + 1] = w.h[d.j] THEN 0 ELSE 1 END, d.v + 1)) AS m FROM d JOIN w ON w.session_id = d.session_id AND w.id = d.id WHERE d.i < len(w.r)))
+SELECT w.session_id, w.id, CASE WHEN len(r) = 0 THEN CASE WHEN len(h) = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END ELSE d.v / len(r)::DOUBLE END AS wer,
+  CASE WHEN a = '' THEN CASE WHEN b = '' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END ELSE levenshtein(a, b) / length(a)::DOUBLE END AS cer
+FROM w JOIN d ON d.session_id = w.session_id AND d.id = w.id AND d.i = len(w.r) AND d.j = len(w.h)""")
 def word_error_rates(spark: SparkSession, folder: str) -> DataFrame:
     p = captions(spark, folder).withColumn("before", F.lag("original").over(Window.partitionBy("session_id").orderBy("id"))).where("before is not null")
     return metrics.with_word_error_rate(p, "original", "before").select("session_id", "id", "wer", metrics.character_error_rate(F.col("original"), F.col("before")).alias("cer"))
@@ -265,11 +279,13 @@ def merged_by_continuity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(rf"""WITH {CAPTIONS}, h AS (SELECT *, regexp_matches(regexp_replace(left(original, CAST(length(original) // 2 AS INTEGER)), '^\s+|\s+$', '', 'g'), '[.!?]$') AS marked, (start_s + end_s) / 2 AS mid FROM cap),
-m AS (SELECT session_id, id, 0 AS k, speaker_id, start_s, mid AS end_s, 1 AS fragments FROM h WHERE marked UNION ALL SELECT session_id, id, 1, speaker_id, CASE WHEN marked THEN mid ELSE start_s END, end_s, CASE WHEN marked THEN 1 ELSE 2 END FROM h)
-SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY id, k) AS utterance, speaker_id, round(start_s, 6) AS start_s, round(end_s, 6) AS end_s, fragments FROM m""")
+q AS (SELECT *, regexp_replace(left(original, CAST(length(original) // 2 AS INTEGER)), '^\s+|\s+$', '', 'g') AS a, regexp_replace(substr(original, CAST(length(original) // 2 AS INTEGER) + 1), '^\s+|\s+$', '', 'g') AS b FROM h),
+m AS (SELECT session_id, id, 0 AS k, speaker_id, start_s, mid AS end_s, 1 AS fragments, a AS text FROM q WHERE marked UNION ALL SELECT session_id, id, 1, speaker_id, CASE WHEN marked THEN mid ELSE start_s END, end_s, CASE WHEN marked THEN 1 ELSE 2 END,
+  CASE WHEN marked THEN b WHEN regexp_matches(a, '[-—]$') OR regexp_matches(b, '^[,.?!]') THEN a || b ELSE a || ' ' || b END FROM q)
+SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY id, k) AS utterance, speaker_id, round(start_s, 6) AS start_s, round(end_s, 6) AS end_s, fragments, text FROM m""")
 def merged_by_marks(spark: SparkSession, folder: str) -> DataFrame:
     m = merging.merge(fragments(spark, folder), "buffer")
-    return m.select("session_id", "utterance", "speaker_id", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"), F.size("fragments").alias("fragments"))
+    return m.select("session_id", "utterance", "speaker_id", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"), F.size("fragments").alias("fragments"), "text")
 
 
 @query()
@@ -301,20 +317,38 @@ def continuity_scores(spark: SparkSession, folder: str) -> DataFrame:
     return p.withColumn("c", continuity(F.col("a"), one, F.col("e"), F.col("t"), one, F.col("start_s"))).select("session_id", "id", F.round("c.score", 6).alias("score"), "c.reason")
 
 
-@query(r"""WITH x AS (SELECT doc_id, regexp_replace(left(text, 40), '^\s+|\s+$', '', 'g') AS raw, regexp_replace(left(text, CAST(doc_id % 41 AS INTEGER)), '^\s+|\s+$', '', 'g') AS final, doc_id % 3 = 0 AS kept FROM documents)
-SELECT doc_id, CASE WHEN raw <> '' AND final = '' THEN 'pipeline' WHEN length(final) < 0.4 * length(raw) AND length(raw) > 8 THEN 'pipeline' WHEN NOT kept THEN 'unknown' WHEN raw = '' THEN 'recognition' ELSE 'none' END AS kind FROM x""")
+@query(rf"""WITH {CAPTIONS}, p AS (SELECT *, lag(original) OVER (PARTITION BY session_id ORDER BY id) AS before FROM cap),
+x AS (SELECT session_id, id, lower(regexp_replace(original, '^\s+|\s+$', '', 'g')) AS truth, CASE id % 5 WHEN 4 THEN '' WHEN 3 THEN regexp_replace(original, '^\S+\s+', '') ELSE original END AS r, CASE id % 5 WHEN 4 THEN '' WHEN 3 THEN original ELSE coalesce(before, '') END AS f,
+  CASE WHEN id % 11 = 10 THEN 0 WHEN id % 7 = 6 THEN 2000 ELSE 16000 END AS samples, CASE WHEN id % 3 = 0 THEN 0.1 ELSE 0.01 END AS level, CASE WHEN id % 2 = 0 THEN 0.1 ELSE 0.0 END AS onset, id % 13 <> 12 AS kept, id % 4 <> 3 AS known FROM p),
+y AS (SELECT session_id, id, samples, level > 0.015 AS loud, onset > 0.06 AS cut, samples < 2880 AS short, kept, CASE WHEN known THEN truth ELSE '' END AS t, regexp_replace(r, '^\s+|\s+$', '', 'g') AS raw, regexp_replace(f, '^\s+|\s+$', '', 'g') AS final FROM x),
+w AS (SELECT *, raw = '' AS silent, list_filter(regexp_split_to_array(t, '\s+'), lambda v: v <> '') AS said, list_filter(regexp_split_to_array(lower(raw), '\s+'), lambda v: v <> '') AS heard FROM y),
+k AS (SELECT *, len(heard) > 0 AND len(said) > len(heard) AND said[1] <> heard[1] AS first_lost FROM w)
+SELECT session_id, id, CASE WHEN kept AND samples = 0 THEN 'audio no_samples' WHEN NOT silent AND final = '' THEN 'pipeline dropped' WHEN length(final) < 0.4 * length(raw) AND length(raw) > 8 THEN 'pipeline cut_short' WHEN NOT kept THEN 'unknown no_audio_kept'
+  WHEN t <> '' AND silent AND (cut OR short) THEN 'audio clipped_or_short' WHEN t <> '' AND silent AND loud THEN 'recognition voice_without_text' WHEN t <> '' AND first_lost AND cut THEN 'audio first_word_clipped'
+  WHEN silent AND loud AND NOT short AND cut THEN 'audio clipped' WHEN silent AND loud AND NOT short THEN 'recognition voice_without_text' ELSE 'none captured' END AS kind FROM k""")
 def loss_kinds(spark: SparkSession, folder: str) -> DataFrame:
-    """Texts cut at 40 characters, of which the number of the document says how many are delivered; a third have audio."""
-    marks = F.when(F.col("doc_id") % 3 == 0, F.struct(F.lit(16000).alias("samples"), F.lit(0.1).cast("double").alias("level"), F.lit(0.0).cast("double").alias("onset")))
-    return table(spark, folder, "documents").select("doc_id", loss(marks, F.left("text", F.lit(40)), F.left(F.col("text"), (F.col("doc_id") % 41).cast("int")))["kind"].alias("kind"))
+    """Turns of which some come without text, some without their first word, and others as the turn before; with audio of several kinds, and the truth for most."""
+    i = F.col("id")
+    p = captions(spark, folder).withColumn("before", F.lag("original").over(Window.partitionBy("session_id").orderBy("id")))
+    raw = F.when(i % 5 == 4, "").when(i % 5 == 3, F.regexp_replace("original", r"^\S+\s+", "")).otherwise(F.col("original"))
+    final = F.when(i % 5 == 4, "").when(i % 5 == 3, F.col("original")).otherwise(F.coalesce("before", F.lit("")))
+    marks = F.struct(F.when(i % 11 == 10, 0).when(i % 7 == 6, 2000).otherwise(16000).alias("samples"), F.when(i % 3 == 0, 0.1).otherwise(0.01).alias("level"), F.when(i % 2 == 0, 0.1).otherwise(0.0).alias("onset"))
+    kind = loss(F.when(i % 13 != 12, marks), raw, final, F.when(i % 4 != 3, F.col("original")))
+    return p.select("session_id", "id", F.concat_ws(" ", kind["kind"], kind["reason"]).alias("kind"))
 
 
-_SHINE = "' Su luz BRILLA a través, y va  a funcionar.'"
+_SHINE = " Su luz BRILLA a través, brilla también y también  brilla, y va  a funcionar; es una fiesta de lastima, no como una fiesta de lástima en absoluto, parte de pena, haciendo un diario o creando un diario, viene a traves."
 
 
-@query(rf"SELECT doc_id, md5(regexp_replace(regexp_replace(text || {_SHINE}, '(?i)\bbrilla\s+a\s+trav[eé]s\b', 'se nota', 'g'), '(?i)\bva\s+a\s+funcionar\b', 'va a salir bien', 'g')) AS digest FROM documents")
+def _natural_sql(x: str) -> str:
+    for pattern, to in rules.NATURAL_SPANISH:
+        x = f"regexp_replace({x}, '(?i){pattern}', '{to}', 'g')"
+    return x
+
+
+@query(f"SELECT doc_id, md5({_natural_sql(f"text || '{_SHINE}'")}) AS digest FROM documents")
 def natural_spanish(spark: SparkSession, folder: str) -> DataFrame:
-    t = F.concat("text", F.lit(_SHINE.strip("'")))
+    t = F.concat("text", F.lit(_SHINE))
     return table(spark, folder, "documents").select("doc_id", F.md5(T.natural_spanish(t, F.lit("It works."))).alias("digest"))
 
 
@@ -325,20 +359,139 @@ def translated_turns(spark: SparkSession, folder: str) -> DataFrame:
     return providers.translate(c, {("en", "es"): lambda: lambda texts: "x " + texts}).select("session_id", "id", "translated")
 
 
-def _heard_twice(spark: SparkSession, folder: str) -> DataFrame:
+def _heard_again(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns; each one with a mark more, cut short, said again much later, and another text at its time."""
     c = captions(spark, folder).select("session_id", F.col("id").alias("sequence_id"), "speaker_id", F.col("original").alias("text"), "start_s", "end_s", F.lit(0.9).alias("confidence"))
-    again = c.withColumn("start_s", F.col("start_s") + 0.05).withColumn("confidence", F.lit(0.8))
-    return c.unionByName(again)
+    t = F.col("text")
+    short = F.left(t, (F.length(t) * 6 / 10).cast("int"))
+    kinds = [(0, t, 0.0, 0.9), (1, F.concat(t, F.lit(" !")), 0.05, 0.8), (2, short, 0.1, 0.7), (3, t, 8.0, 0.6), (4, F.md5(F.concat_ws(" ", "session_id", "sequence_id")), 0.12, None)]
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), x.alias("text"), F.lit(late).alias("late"), F.lit(sure).cast("double").alias("confidence")) for k, x, late, sure in kinds])).alias("x")
+    return c.select("session_id", "sequence_id", "speaker_id", "start_s", "end_s", each).select("session_id", "sequence_id", "speaker_id", "x.kind", "x.text", (F.col("start_s") + F.col("x.late")).alias("start_s"), (F.col("end_s") + F.col("x.late")).alias("end_s"), "x.confidence")
+
 
+_AGAIN = rf"""rows AS (SELECT session_id, id AS sequence_id, speaker_id, k AS kind, CASE k WHEN 1 THEN original || ' !' WHEN 2 THEN left(original, CAST(length(original) * 6 // 10 AS INTEGER)) WHEN 4 THEN md5(session_id || ' ' || id) ELSE original END AS text,
+  start_s + [0.0, 0.05, 0.1, 8.0, 0.12][k + 1]::DOUBLE AS start_s, end_s + [0.0, 0.05, 0.1, 8.0, 0.12][k + 1]::DOUBLE AS end_s, [0.9, 0.8, 0.7, 0.6, NULL][k + 1]::DOUBLE AS confidence FROM cap, range(5) AS t(k)),
+n AS (SELECT *, {_NORM.format('text')} AS norm, row_number() OVER (PARTITION BY session_id, speaker_id ORDER BY start_s, end_s) AS pos FROM rows)"""
+#: Whether two normalized texts are alike by the rules for equal and for contained texts; others of these rows have little in common.
+_ALIKE = "({0} <> '' AND {1} <> '' AND ({0} = {1} OR (contains({0}, {1}) AND 2 * length({1}) >= length({0})) OR (contains({1}, {0}) AND 2 * length({0}) >= length({1}))))"
 
-@query(f"WITH {CAPTIONS} SELECT session_id, id AS sequence_id, start_s FROM cap")
+
+@query(f"""WITH RECURSIVE {CAPTIONS}, {_AGAIN},
+f AS (SELECT session_id, speaker_id, CAST(0 AS BIGINT) AS pos, CAST([] AS STRUCT(kind BIGINT, sequence_id BIGINT, norm VARCHAR, start_s DOUBLE, end_s DOUBLE)[]) AS kept FROM n GROUP BY 1, 2
+  UNION ALL SELECT f.session_id, f.speaker_id, n.pos, CASE WHEN len(list_filter(f.kept, lambda k: n.start_s - k.end_s < 2.5 AND (least(k.end_s, n.end_s) > greatest(k.start_s, n.start_s) OR abs(k.start_s - n.start_s) <= 0.15) AND {_ALIKE.format('n.norm', 'k.norm')})) > 0 THEN f.kept
+    ELSE list_append(f.kept, {{'kind': CAST(n.kind AS BIGINT), 'sequence_id': CAST(n.sequence_id AS BIGINT), 'norm': n.norm, 'start_s': n.start_s, 'end_s': n.end_s}}) END FROM f JOIN n ON n.session_id = f.session_id AND n.speaker_id = f.speaker_id AND n.pos = f.pos + 1)
+SELECT session_id, k.sequence_id AS sequence_id, CAST(k.kind AS INTEGER) AS kind, round(k.start_s, 6) AS start_s FROM (SELECT session_id, speaker_id, unnest(kept) AS k FROM f WHERE pos = (SELECT max(pos) FROM n WHERE n.session_id = f.session_id AND n.speaker_id = f.speaker_id))""")
 def suppressed_repeats(spark: SparkSession, folder: str) -> DataFrame:
-    return duplicates.suppress_repeats(_heard_twice(spark, folder)).select("session_id", "sequence_id", "start_s")
+    return duplicates.suppress_repeats(_heard_again(spark, folder)).select("session_id", "sequence_id", "kind", F.round("start_s", 6).alias("start_s"))
 
 
-@query(f"WITH {CAPTIONS} SELECT session_id, id AS sequence_id, 0.9::DOUBLE AS confidence FROM cap")
+@query(rf"""WITH {CAPTIONS}, {_AGAIN}, w AS (SELECT *, list_filter(regexp_split_to_array(text, '\s+'), lambda v: v <> '') AS words FROM n),
+v AS (SELECT *, len(words) - 3 * len(list_filter(range(1, len(words)), lambda i: lower(words[i]) = lower(words[i + 1]))) + coalesce(confidence, 0) - CASE WHEN len(words) > 0 AND length(words[-1]) = 1 AND NOT contains('aiyoeu', lower(words[-1])) THEN 2.5 ELSE 0 END AS worth FROM w),
+a AS (SELECT *, row_number() OVER (PARTITION BY session_id, sequence_id ORDER BY worth DESC, start_s) AS k FROM v WHERE kind <> 4)
+SELECT session_id, sequence_id, CAST(kind AS INTEGER) AS kind FROM a WHERE k = 1 UNION ALL SELECT session_id, sequence_id, 4 FROM n WHERE kind = 4""")
 def resolved_channels(spark: SparkSession, folder: str) -> DataFrame:
-    return duplicates.resolve_channels(_heard_twice(spark, folder)).select("session_id", "sequence_id", "confidence")
+    """Turns that are long enough to overlap with what is said again much later are of one utterance with it."""
+    again = _heard_again(spark, folder).withColumn("start_s", F.when(F.col("kind") == 3, F.col("start_s") - 7.0).otherwise(F.col("start_s")))
+    return duplicates.resolve_channels(again).select("session_id", "sequence_id", "kind")
+
+
+@query("SELECT event_type, count(*) AS processed, round(arg_max(value * 1000, event_id), 1) AS last_value, round(avg(value * 1000), 1) AS avg_value FROM events GROUP BY 1")
+def running_latency(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.running_latency(table(spark, folder, "events"), "event_type", "event_id", "value")
+
+
+@query(f"WITH {CAPTIONS}, p AS (SELECT *, lag(speaker_id) OVER (PARTITION BY session_id ORDER BY start_s, id) AS previous FROM cap), k AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY start_s DESC, id DESC) AS k FROM p WHERE previous <> speaker_id) SELECT session_id, id FROM k WHERE k <= 3")
+def recent_transitions(spark: SparkSession, folder: str) -> DataFrame:
+    return context.recent_transitions(captions(spark, folder), 3).select("session_id", "id")
+
+
+@query(f"""WITH {CAPTIONS}, k AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY start_s, id) AS k FROM cap)
+SELECT a.session_id, a.id, string_agg('[' || b.speaker_id || ']: ' || b.original, chr(10) ORDER BY b.k) AS script
+FROM k a JOIN k b ON a.session_id = b.session_id AND b.k BETWEEN a.k - 3 AND a.k AND b.start_s >= a.start_s - 25 GROUP BY 1, 2""")
+def dialogue_script(spark: SparkSession, folder: str) -> DataFrame:
+    return context.as_script(captions(spark, folder), 4, 25.0).select("session_id", "id", "script")
+
+
+@query(rf"""WITH {CAPTIONS}, t AS (SELECT *, regexp_replace(original, '^\s+|\s+$', '', 'g') AS a, CASE WHEN id % 4 = 1 THEN '' ELSE lower(left(original, 30)) END AS b FROM cap), u AS (SELECT *, regexp_replace(b, '^\s+|\s+$', '', 'g') AS c FROM t),
+k AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY start_s, id) AS k FROM u WHERE a <> '' AND c <> '')
+SELECT x.session_id, x.id, coalesce((SELECT string_agg('EN: ' || y.a || ' -> ES: ' || y.c, chr(10) ORDER BY y.k) FROM k y WHERE y.session_id = x.session_id AND y.id <= x.id AND y.k > (SELECT max(z.k) FROM k z WHERE z.session_id = x.session_id AND z.id <= x.id) - 2), '') AS pairs FROM cap x""")
+def dialogue_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    t = captions(spark, folder).withColumns({"translated": F.when(F.col("id") % 4 == 1, "").otherwise(F.lower(F.left("original", F.lit(30)))), "language": F.lit("en"), "target": F.lit("es")})
+    return context.as_pairs(t, 2).select("session_id", "id", "pairs")
+
+
+@query(f"""WITH {CAPTIONS}, c AS (SELECT session_id, id, floor(start_s / 30) * 30 AS a, start_s - floor(start_s / 30) * 30 - 2 AS s, end_s - floor(start_s / 30) * 30 AS e FROM cap)
+SELECT session_id, id, greatest(a, a + s) AS start_s, round(least(a + 30, a + e), 6) AS end_s FROM c WHERE least(a + 30, a + e) > greatest(a, a + s)""")
+def clamped_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Segments that begin before their chunk of 30 seconds or end after it are cut."""
+    a = F.floor(F.col("start_s") / 30) * 30.0
+    c = captions(spark, folder).select("session_id", "id", a.alias("chunk_start_s"), (a + 30).alias("chunk_end_s"), (F.col("start_s") - a - 2).alias("start_s"), (F.col("end_s") - a).alias("end_s"))
+    return routing.clamped(c).select("session_id", "id", "start_s", F.round("end_s", 6).alias("end_s"))
+
+
+@query("SELECT doc_id, lang AS language FROM documents WHERE lang IN ('es', 'en', 'pt')")
+def known_languages(spark: SparkSession, folder: str) -> DataFrame:
+    d = table(spark, folder, "documents").where(F.col("lang").isin(*routing.LANGUAGES))
+    return d.select("doc_id", routing.known_language(F.col("lang")).alias("language"))
+
+
+_EDGE = r"([^\p{L}\p{M}\p{N}_]|^){0}([^\p{L}\p{M}\p{N}_]|$)"
+_TERMS = {"de": "of", "la": "thé", "que": "that (which)"}
+
+
+def _replaced_sql(x: str) -> str:
+    for term, to in _TERMS.items():
+        if to.isascii():
+            for _ in range(2):  # what ends one term may begin the next
+                x = f"regexp_replace({x}, '(?i){_EDGE.replace('{0}', term)}', '\\1{to}\\2', 'g')"
+    return x
+
+
+@query(rf"SELECT conv_id, turn, md5({_replaced_sql(r"trim(regexp_replace(text, '\s+', ' ', 'g'))")}) AS digest FROM conversations")
+def cleaned_source(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "conversations").select("conv_id", "turn", F.md5(T.clean_source(F.col("text"), _TERMS)).alias("digest"))
+
+
+@query("""WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CASE WHEN vec_id % 2 = 0 THEN 0.5 ELSE 3 END) AS s FROM embeddings), p AS (SELECT *, list_max(list_transform(s, lambda x: abs(x))) AS p FROM s),
+g AS (SELECT vec_id, CASE WHEN p > 0.001 AND p < 0.25 THEN list_transform(s, lambda x: greatest(-1.0::DOUBLE, least(1.0::DOUBLE, x * least(5.0::DOUBLE, 0.6::DOUBLE / p)))) ELSE s END AS g FROM p)
+SELECT vec_id, round(list_max(list_transform(g, lambda x: abs(x))), 6) AS peak, round(list_sum(list_transform(g, lambda x: abs(x))), 6) AS total, CAST(list_sum(list_transform(g, lambda x: abs(CAST(trunc(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, x)) * 32767) AS INTEGER)))) AS BIGINT) AS pcm FROM g""")
+def faint_audio(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors as samples, half of them faint: raised, and as 16-bit numbers."""
+    v = table(spark, folder, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * F.when(F.col("vec_id") % 2 == 0, 0.5).otherwise(3.0)).alias("s"))
+    g = v.select("vec_id", arrays.raised(F.col("s")).alias("g"))
+    total = F.aggregate("g", F.lit(0.0), lambda a, x: a + F.abs(x))
+    pcm = F.aggregate(arrays.pcm16(F.col("g")), F.lit(0).cast("long"), lambda a, x: a + F.abs(x.cast("long")))
+    return g.select("vec_id", F.round(arrays.peak(F.col("g")), 6).alias("peak"), F.round(total, 6).alias("total"), pcm.alias("pcm"))
+
+
+@query("""WITH x AS (SELECT vec_id, len(embedding) AS n, vec_id % 40 AS a, vec_id % 40 + vec_id % 9 AS b FROM embeddings), y AS (SELECT *, greatest(0, a - 8) AS lo, least(n, b + 8) AS hi FROM x)
+SELECT vec_id, CAST(CASE WHEN vec_id % 5 = 4 THEN n ELSE hi - lo END AS INTEGER) AS n, CASE WHEN vec_id % 5 = 4 THEN 2.0::DOUBLE ELSE 2 + lo / 16.0::DOUBLE END AS start_s, CASE WHEN vec_id % 5 = 4 THEN 2 + n / 16.0::DOUBLE ELSE 2 + hi / 16.0::DOUBLE END AS end_s FROM y""")
+def regions_with_margins(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors as samples at 16 a second from 2 s on; a region in most of them, with half a second around it."""
+    i = F.col("vec_id")
+    cut = arrays.with_margins(F.col("embedding"), F.lit(2.0), F.when(i % 5 != 4, 2 + (i % 40) / 16), 2 + (i % 40 + i % 9) / 16, rate=16)
+    return table(spark, folder, "embeddings").select("vec_id", cut.alias("c")).select("vec_id", F.size("c.samples").alias("n"), "c.start_s", "c.end_s")
+
+
+@query(f"WITH {CAPTIONS} SELECT session_id, id, round(end_s + 100 - greatest(0, end_s + 1 - (end_s + id % 3)), 6) AS captured_s FROM cap")
+def capture_times(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts that end before or after their segment, which was captured 100 s after the turn's end."""
+    c = captions(spark, folder)
+    parts = c.select("session_id", "id", (F.col("end_s") + F.col("id") % 3).alias("end_s"), (F.col("end_s") + 1).alias("segment_end_s"), (F.col("end_s") + 100).alias("segment_captured_s"))
+    return routing.with_capture_times(parts).select("session_id", "id", F.round("captured_s", 6).alias("captured_s"))
+
+
+@query(f"WITH {CAPTIONS} SELECT session_id, id FROM cap WHERE session_id % 7 = 0")
+def orphan_captions(spark: SparkSession, folder: str) -> DataFrame:
+    c = captions(spark, folder)
+    return without_session(c, c.select("session_id").where("session_id % 7 <> 0").distinct()).select("session_id", "id")
+
+
+@query(f"WITH {CAPTIONS} SELECT session_id, id, row_number() OVER (PARTITION BY session_id ORDER BY end_s, start_s) AS sequence_id, 'recognition' AS destination FROM cap")
+def numbered_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns as captured segments on the way without a separator."""
+    c = captions(spark, folder).withColumn("captured_s", F.col("end_s"))
+    return routing.presegmented(c, detect=False).select("session_id", "id", "sequence_id", "destination")
 
 
 @query()

@@ -30,6 +30,21 @@ def glossary(text: str) -> dict[str, str]:
     return {k.strip(): str(v).strip() for k, v in read.items() if k.strip() and not k.startswith("__")}
 
 
+def with_term(glossary: dict[str, str], term: str, replacement: str) -> dict[str, str]:
+    """A glossary with one term more, or another replacement for it; blank ones change nothing."""
+    term, replacement = term.strip(), replacement.strip()
+    return glossary | {term: replacement} if term and replacement else dict(glossary)
+
+
+def without_term(glossary: dict[str, str], term: str) -> dict[str, str]:
+    return {k: v for k, v in glossary.items() if k != term.strip()}
+
+
+def glossary_json(glossary: dict[str, str]) -> str:
+    """A glossary as :func:`glossary` reads it."""
+    return json.dumps(glossary, ensure_ascii=False, indent=2)
+
+
 def wav_chunks(spark: SparkSession, path: str, seconds: int = 30) -> DataFrame:
     """(path, chunk, start_s, rate, samples) of 16-bit mono WAV files, in chunks; the rest at the end is one too."""
     import io

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Accumulator
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import mixed
@@ -50,3 +51,19 @@ def within_limit(write: Callable[[DataFrame, int], None], rate: int = 16000, mos
         write(batch, number)
 
     return run
+
+
+def lossy(write: Callable[[DataFrame, int], None], most: int, dropped: Accumulator) -> Callable[[DataFrame, int], None]:
+    """A function for foreachBatch that writes the first ``most`` frames of each session in a batch and counts the others in ``dropped``.
+
+    For sources that must never wait; everything else uses :func:`within_limit`.
+    """
+    order = Window.partitionBy("session_id").orderBy("frame_seq")
+
+    def run(batch: DataFrame, number: int) -> None:
+        ranked = batch.withColumn("_rank", F.row_number().over(order)).persist()
+        write(ranked.where(F.col("_rank") <= most).drop("_rank"), number)
+        dropped.add(ranked.where(F.col("_rank") > most).count())
+        ranked.unpersist()
+
+    return run

@@ -7,11 +7,14 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from parlance.operators import assembly, voice
+from parlance.operators import assembly, duplicates, tracking, voice
 from parlance.operators.assembly import Assembler
 from parlance.plans.queries import fragments
 from parlance.sources.tables import wav_chunks
 from parlance.streaming.assembly import assemble_stream
+from parlance.streaming.drain import drain
+from parlance.streaming.duplicates import suppress_stream
+from parlance.streaming.voice import detect_stream
 
 A, B = "SPEAKER_01", "SPEAKER_02"
 
@@ -77,22 +80,85 @@ def test_batch_and_stream_give_the_same(spark, tmp_path):
 
 def test_voice_segments(spark):
     def frames(levels):
-        return [np.full(480, x, np.float32) for x in levels]
+        return [(480, x) for x in levels]
 
     d = voice.Detector(threshold=0.02, silence_ms=210, preroll=2)
-    out = [s for f in frames([0] * 5 + [0.1] * 10 + [0] * 10) for s in d.add(f)] + d.flush()
-    assert [(s["reason"], round(s["start_s"], 3), s["samples"]) for s in out] == [("silence", 0.09, 19 * 480)]
+    out = [s for f in frames([0] * 5 + [0.1] * 10 + [0] * 10) for s in d.add(*f)] + d.flush()
+    assert [(s["reason"], round(s["start_s"], 3), s["samples"], s["trailing_ms"]) for s in out] == [("silence", 0.09, 19 * 480, 210)]
+    assert d.progress() == {"reason": "progress", "processed_s": 25 * 0.03, "voice_s": pytest.approx(15 * 0.03)}
     short = voice.Detector(threshold=0.02, silence_ms=60, preroll=0)
-    assert [s for f in frames([0.1] * 2 + [0] * 5) for s in short.add(f)] + short.flush() == []
+    assert [s for f in frames([0.1] * 2 + [0] * 5) for s in short.add(*f)] + short.flush() == []
     long = voice.Detector(threshold=0.02, most_s=0.24, preroll=0, least_ms=0)
-    out = [s for f in frames([0.1 + 0.01 * i for i in range(12)]) for s in long.add(f)] + long.flush()
+    out = [s for f in frames([0.1 + 0.01 * i for i in range(12)]) for s in long.add(*f)] + long.flush()
     assert sum(s["samples"] for s in out) == 12 * 480 and out[-1]["end_s"] == pytest.approx(0.36)
-    rows = [(1, i, f.tolist()) for i, f in enumerate(frames([0.1] * 20 + [0] * 30))] + [(2, 0, [0.0] * 480)]
+    # The quietest of the last four of eight frames closes the first part; the pause before it counts no more.
+    valley = voice.Detector(threshold=0.02, most_s=0.24, silence_ms=120, preroll=0, least_ms=0)
+    out = [s for f in frames([0.1, 0.01, 0.1, 0.1, 0.1, 0.05, 0.1, 0.1, 0.1, 0, 0, 0, 0]) for s in valley.add(*f)] + valley.flush()
+    assert [(s["reason"], s["samples"] // 480, s["start_s"]) for s in out] == [("max_duration", 6, 0.0), ("silence", 7, pytest.approx(0.18))]
+    assert voice.Detector().add(0, 0.0) == [] and voice.options_of("natural", threshold=1) == {"silence_ms": 800, "threshold": 1}
+    rows = [(1, i, [x] * n) for i, (n, x) in enumerate(frames([0.1] * 20 + [0.0] * 30))] + [(2, 0, [0.0] * 480), (2, 1, None)]
     df = spark.createDataFrame(rows, "session_id long, frame_seq long, samples array<float>").orderBy(F.rand(1))
     got = voice.detect(df, silence_ms=300).collect()
     assert [(r.session_id, r.segment, r.reason, r.samples) for r in got] == [(1, 0, "silence", 30 * 480)]
 
 
+def test_voice_in_batch_and_stream(spark, tmp_path):
+    """Segments of a stream cut anywhere are those of the batch, and progress tells how far each session was heard."""
+    rng = np.random.default_rng(4)
+    rows = [(s, i, [float(0.1 * (rng.random() < 0.6))] * 160) for s in (1, 2) for i in range(120)]
+    df = spark.createDataFrame(rows, "session_id long, frame_seq long, samples array<float>")
+    options = {"silence_ms": 40, "most_s": 0.4, "least_ms": 30, "preroll": 2}
+    want = voice.detect(df, progress=True, **options)
+    kept = ("session_id", "segment", "start_s", "end_s", "samples", "reason", "trailing_ms")
+    bounds = [0, 7, 50, 51, 120]
+    for a, b in zip(bounds, bounds[1:]):
+        df.where(f"frame_seq >= {a} and frame_seq < {b}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    df.where("frame_seq = 0").selectExpr("session_id", "frame_seq + 120 as frame_seq", "cast(null as array<float>) as samples").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = detect_stream(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), **options)
+    drain([("voice", lambda: stream.writeStream.format("memory").queryName("voices").option("checkpointLocation", str(tmp_path / "cp")))], 120)
+    got = spark.table("voices")
+    rows = lambda d: sorted(map(repr, d.where("reason <> 'progress'").select(*kept).collect()))
+    assert rows(got) == rows(want) and len(rows(want)) > 4
+    last = {r.session_id: (r.p, r.v) for r in got.groupBy("session_id").agg(F.max("processed_s").alias("p"), F.max("voice_s").alias("v")).collect()}
+    assert last == {r.session_id: (r.processed_s, r.voice_s) for r in want.where("reason = 'progress'").collect()}
+
+
+def test_repeats_in_batch_and_stream(spark, tmp_path):
+    words = "one two three four five six seven eight".split()
+    rng = np.random.default_rng(8)
+    rows = [(1, "AB"[int(rng.integers(2))], " ".join(words[k : k + 5]), round(0.4 * i, 1), round(0.4 * i + 1, 1)) for i in range(60) for k in [int(rng.integers(4))]]
+    df = spark.createDataFrame(rows, "session_id long, speaker_id string, text string, start_s double, end_s double")
+    want = sorted(map(repr, duplicates.suppress_repeats(df).collect()))
+    for a, b in ((0, 5), (5, 16), (16, 25)):
+        df.where(f"start_s >= {a} and start_s < {b}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = suppress_stream(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    drain([("repeats", lambda: stream.writeStream.format("memory").queryName("repeats").option("checkpointLocation", str(tmp_path / "cp")))], 120)
+    assert sorted(map(repr, spark.table("repeats").collect())) == want and 10 < len(want) < 55
+
+
+def test_a_stage_that_takes_too_long_is_an_error(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "in"))
+    rows = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+    writer = lambda: rows.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "cp"))
+    with pytest.raises(TimeoutError, match="first"):
+        drain([("first", writer)], 0.001)
+
+
+def test_state_survives_as_json():
+    m = Assembler()
+    m.add(A, "I want to", np.float64(0.0), 1.0, 300, True, 0.5, [("I", 0.0, 0.1)], 3, 0.25, 7.0, True)
+    again = Assembler.of(m.state())
+    assert again.state() == m.state()
+    (out,) = again.add(A, "go home.", 1.0, 2.0, 900, sequence=4, asr_s=0.5, captured_s=6.0)
+    assert (out["text"], out["asr_s"], out["captured_s"], out["is_overlap"]) == ("I want to go home.", 0.75, 7.0, True)
+    t = tracking.Tracker()
+    x, y = np.eye(4)[0], np.eye(4)[1]
+    t.hear(x, 120.0, 0, 1)
+    t.hear(y, 0.0, 1, 1.5, False)
+    u = tracking.Tracker.of(t.state())
+    assert u.state() == t.state() and u.hear(x, 118.0, 2, 3) == t.hear(x, 118.0, 2, 3)
+
+
 def test_wav_chunks(spark, tmp_path):
     with wave.open(str(tmp_path / "a.wav"), "wb") as w:
         w.setnchannels(1)
