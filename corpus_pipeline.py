@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from parlance.llm import decontaminate, line_dedup, quality, sentencepiece, simhash
-from parlance.llm.common import Scratch
+from parlance.llm.common import Scratch, released
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +51,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn over documents, each written to the shared folder before the next one."""
-    scratch = Scratch(spark)
+    """The stages in turn over documents, each written to the shared folder before the next one.
+
+    What a stage has written on its way, and the documents that it read, are
+    deleted when its result is written.
+    """
+    scratch, before = Scratch(spark), []
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = scratch.table(stage(spark, docs, sf_dir))
+        with released():
+            docs = scratch.table(stage(spark, docs, sf_dir))
+        scratch.drop(*before)
+        before = [docs]
     return docs
