@@ -56,3 +56,20 @@ def test_line_stage_cuts_documents_of_mostly_repeated_lines(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_dedup_stage(spark, docs, SF).collect()}
     assert got == {0: (texts[0], len(texts[0])), 1: ("new", 3), 2: (texts[2].split("\n")[0], 33), 4: ("", 0), 5: (None, 0)}
+
+
+def test_scratch_is_released(spark, tmp_path):
+    """Within the scope all tables are there, after it none of its operators' are; others stay."""
+    from pathlib import Path
+
+    from parlance.llm.common import Scratch, released
+
+    outer = Scratch(spark)
+    kept = outer.table(spark.range(3))
+    with released():
+        inner = Scratch(spark)
+        some = inner.table(spark.range(4))
+        result = outer.table(some.join(kept, "id"))
+        assert some.count() == 4
+    there = lambda s: Path(s.path.removeprefix("file://")).exists()
+    assert result.count() == 3 and kept.count() == 3 and there(outer) and not there(inner)
