@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from parlance.llm import embedding_dedup, line_dedup, simhash, substring_dedup
 from parlance.llm.common import Block, Scratch, grouped, key_to_id
@@ -128,6 +129,17 @@ def test_near_duplicates_keep_one_of_each_group(spark):
     assert simhash.drop_near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_units_of_unlike_texts_with_like_prints():
+    """Texts of one unit whose prints say nothing: links are exactly those that join what is alike."""
+    rng = random.Random(26)
+    base = [prose(rng, 40) for _ in range(6)]
+    texts = base + [edited(rng, rng.choice(base), rng.randrange(3)) for _ in range(30)] + ["", " "]
+    rows = pa.RecordBatch.from_arrays([pa.array([1] * len(texts)), pa.array(range(len(texts))), pa.array([0] * len(texts)), pa.array(range(len(texts))), pa.array([t.encode() for t in texts])], names=["key", "node", "fp", "comp", "text"])
+    got = [x for b in simhash._verify_units(5, 0.8, 3)(iter([rows.slice(0, 10), rows.slice(10)])) for x in zip(b.column("u").to_pylist(), b.column("v").to_pylist())]
+    want = [(i, j) for i, j in combinations(range(len(texts)), 2) if similarity(texts[i], texts[j]) >= 0.8]
+    assert set(map(lambda x: tuple(sorted(x)), got)) <= set(want) and classes(range(len(texts)), got) == classes(range(len(texts)), want)
+
+
 def test_large_group_of_near_copies(spark):
     rng = random.Random(6)
     base = prose(rng, 120)
@@ -171,14 +183,14 @@ def test_line_classes_equal_brute_force(spark, monkeypatch):
             i = rng.randrange(len(x))
             x[i : i + rng.randrange(2)] = rng.choice(["", "q", "é"])
         lines.append("".join(x))
-    lines += ["short", "shart", "short", "", "   ", "\t short "] + [f"an item with the number {i:04d} in it" for i in range(0, 60, 3)]
+    lines += ["short", "shart", "short", "", "   ", "\t short ", "nine char", "nine chan", "ten chars!", "ten chars?", "ten chars!!", "ten chars", "nineteen characters", "nineteen charakterz", "nineteen charakters"] + [f"an item with the number {i:04d} in it" for i in range(0, 60, 3)]
     rng.shuffle(lines)
     texts = ["\n".join(lines[i : i + 7]) for i in range(0, len(lines), 7)] + ["", None, "\n\n", "tail\n" + "x" * 50_000]
     flat = [(d, n, s.strip(line_dedup.SPACE)) for d, t in enumerate(texts) for n, s in enumerate((t or "").split("\n")) if s.strip(line_dedup.SPACE)]
     at = range(len(flat))
 
     def alike(a, b):
-        return a == b or min(len(a), len(b)) >= 20 and abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2
+        return a == b or abs(len(a) - len(b)) <= 2 and distance(a, b) <= min(2, len(a) // 10, len(b) // 10)
 
     root = classes(at, [(i, j) for i, j in combinations(at, 2) if alike(flat[i][2], flat[j][2])])
     size = {r: sum(root[i] == r for i in at) for r in set(root.values())}
@@ -263,18 +275,73 @@ def test_embedding_groups_equal_brute_force(spark, monkeypatch):
     assert embedding_dedup.embedding_groups(frame.limit(0)).count() == 0
 
 
+def test_narrow_and_extreme_vectors_equal_brute_force(spark):
+    """No link is lost in few dimensions, nor where squares of the components overflow or vanish."""
+    rng = np.random.default_rng(23)
+    rows = []
+    for width, n in ((1, 6), (2, 60), (3, 120), (4, 120), (16, 60)):
+        base = rng.normal(size=(n, width))
+        rows += [(v * 10.0 ** rng.integers(-3, 3)).tolist() for x in base for v in (x, x + rng.normal(size=width) * np.linalg.norm(x) * 0.19 / np.sqrt(width))]
+    rows += [[1e300, 1e300], [1.1e300, 1e300], [5e-324, 5e-324], [1e-320, 1.05e-320], [1e308] * 3, [-1e308, 1e308, 1e308]]
+    unit = []
+    for v in rows:
+        x = np.array(v) / np.abs(v).max()
+        unit.append(x / np.sqrt(x @ x))
+    links = [(i, j) for i, j in combinations(range(len(rows)), 2) if len(rows[i]) == len(rows[j]) and unit[i] @ unit[j] >= 0.98]
+    close = [(i, j) for i, j in combinations(range(len(rows)), 2) if len(rows[i]) == len(rows[j]) and abs(unit[i] @ unit[j] - 0.98) < 1e-9]
+    assert not close and len(links) > 300
+    root = classes(range(len(rows)), links)
+    frame = spark.createDataFrame([(i, v, "x") for i, v in enumerate(rows)], "vec_id long, embedding array<double>, label string")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.embedding_groups(frame).collect()}
+    assert got == {i: (sum(i in x for x in links), root[i]) for i in root}
+
+
 def test_embeddings_without_ids(spark):
     frame = spark.createDataFrame([(None, [1.0, 0.0], 1), (5, [1.0, 0.0], 1), (5, [1.0, 0.001], 1), (None, None, 1)], "vec_id long, embedding array<float>, label int")
     got = sorted((repr(r.vec_id), r.n_links, r.component_id, r.kept) for r in embedding_dedup.embedding_groups(frame).collect())
     assert got == [("5", 2, 5, True), ("5", 2, 5, True), ("None", 0, None, False), ("None", 2, 5, False)]
 
 
-def test_a_false_link_hides_no_true_one():
-    """Links that aren't sure leave the others of their group to be compared as well."""
+def test_forest_leaves_nothing_unsaid():
+    """Where links may prove false, those that were left out are told; what is joined already is not linked again."""
     prints = np.array([0b0, 0b11111, 0b1111111], np.int64)
-    assert simhash.forest(prints, 8) == [(0, 1), (1, 2)]
-    assert simhash.forest(prints, 8, sure=1, more=4) == [(0, 1), (1, 2), (0, 2)]
-    assert simhash.forest(prints, 8, sure=2, more=4) == [(0, 1), (1, 2)]
+    links, left = simhash.forest(prints, 8)
+    assert links == [(0, 1), (1, 2)] and (left == -1).all()
+    links, left = simhash.forest(prints, 8, sure=False)
+    assert links == [(0, 1), (1, 2)] and len(set(left.tolist())) == 1 and left[0] >= 0
+    links, left = simhash.forest(prints, 8, np.array([5, 5, 9]), sure=False)
+    assert links == [(1, 2)] and (left >= 0).all()
+    assert simhash.partners(prints, 2, np.array([0, 1, 2])).tolist() == [1, 2]
+    assert simhash.partners(prints, 8, np.array([3, 3, 3])).tolist() == []
+
+
+@pytest.mark.parametrize("trees", (10**6, 0))
+def test_false_links_hide_no_true_ones(spark, monkeypatch, trees):
+    """Of links that prove true or false by chance, the two rounds give the components of all true ones, in hot shards too."""
+    monkeypatch.setattr(simhash, "MOST_TREES", trees)
+    rng = random.Random(20)
+    centers = [rng.getrandbits(63) for _ in range(6)]
+    entries, near = [], []
+    for key, size in enumerate((3, 9, 15, 16, 17, 130)):
+        prints = sorted({centers[key] ^ sum(1 << b for b in rng.sample(range(63), rng.randrange(7))) for _ in range(size)})
+        entries += [(key, p, p) for p in prints]
+        near += [(a, b) for a, b in combinations(prints, 2) if (a ^ b).bit_count() <= 8]
+    is_true = lambda a, b: (min(a, b) * 31 + max(a, b) * 17) % 1009 < 70
+    udf = F.udf(is_true, "boolean")
+
+    def units(frame):
+        of = {}
+        for r in frame.collect():
+            of.setdefault(r.key, {})[r.node] = r.comp
+        assert max(map(len, of.values())) <= 32
+        pairs = {(a, b) for members in of.values() for a, b in combinations(sorted(members), 2) if members[a] != members[b] and (a ^ b).bit_count() <= 8 and is_true(a, b)}
+        return spark.createDataFrame(sorted(pairs), "u long, v long")
+
+    nodes = sorted({p for _, p, _ in entries})
+    frame = spark.createDataFrame(entries, "key long, node long, fp long").repartition(3)
+    links = [(r.u, r.v) for r in simhash.shard_links(frame, 8, Scratch(spark), shard=16, confirm=(lambda x: x.where(udf("u", "v")), units)).collect()]
+    assert all(is_true(*x) for x in links)
+    assert classes(nodes, links) == classes(nodes, [x for x in near if is_true(*x)])
 
 
 def test_blocks_keep_to_the_limit_across_batches(spark):
@@ -300,6 +367,57 @@ def test_blocks_keep_to_the_limit_across_batches(spark):
     assert classes(prints, links) == classes(prints, near)
 
 
+def brute_passages(texts, least=46):
+    """For each pair of documents, the places of runs of ``least`` shingles that both have, by comparing all of them."""
+    rows = [shingle_hashes(words((t or "").encode()), 5).tolist() if len((t or "").split()) >= 5 else [] for t in texts]
+    at = {}
+    for d, h in enumerate(rows):
+        for i in range(len(h) - least + 1):
+            at.setdefault(tuple(h[i : i + least]), []).append((d, i))
+    return {(d, i, j) for some in at.values() for d, i in some for j, _ in some if j < d}
+
+
+def test_exact_passages_equal_brute_force(spark):
+    """Every word of a passage that an earlier document has too is in a span found; nothing else is."""
+    rng = random.Random(24)
+    pool = [prose(rng, n) for n in (50, 55, 60, 90, 150)]
+    texts = []
+    for _ in range(80):
+        parts = [prose(rng, rng.randrange(1, 60))]
+        for _ in range(rng.randrange(3)):
+            p = rng.choice(pool).split()
+            k = rng.randrange(0, 12) if rng.random() < 0.3 else 0
+            parts += [" ".join(p[k:]), prose(rng, rng.randrange(5, 40))]
+        texts.append(" ".join(parts))
+    want = {}
+    for d, i, _ in brute_passages(texts):
+        want.setdefault(d, set()).update(range(i, i + 50))
+    got = {}
+    for r in substring_dedup.passage_report(docs(spark, texts)).collect():
+        got.setdefault(r.doc_id, set()).update(range(r.first_word, r.end_word))
+        assert similarity(" ".join(texts[r.doc_id].split()[r.first_word : r.end_word]), " ".join(texts[r.source_doc_id].split()[r.source_first_word : r.source_end_word])) >= 0.8
+    all_, found = sum(map(len, want.values())), sum(len(want[d] & got.get(d, set())) for d in want)
+    assert all_ > 2000 and found >= 0.97 * all_, f"{found} of {all_}"
+    assert sum(len(s - want.get(d, set())) for d, s in got.items()) < 0.2 * all_
+
+
+@pytest.mark.parametrize("group", (256, 8))
+def test_a_first_document_that_quotes_hides_no_copies(spark, monkeypatch, group):
+    """An earlier document has only runs of 20 words of a passage of 60 that two later ones share; and a phrase that all have."""
+    monkeypatch.setattr(substring_dedup, "GROUP", group)
+    rng = random.Random(25)
+    texts, want = [], set()
+    phrase = prose(rng, 18)
+    for _ in range(100):
+        p = prose(rng, 60).split()
+        quotes = " ".join(f"{' '.join(p[k : k + 20])} {prose(rng, 30)}" for k in (0, 20, 40))
+        n = len(texts)
+        texts += [f"{prose(rng, 30)} {quotes}", f"{prose(rng, 40)} {phrase} {' '.join(p)} {prose(rng, 40)}", f"{prose(rng, 30)} {phrase} {' '.join(p)} {prose(rng, 50)}"]
+        want.add((n + 2, n + 1))
+    got = {(r.doc_id, r.source_doc_id) for r in substring_dedup.passage_report(docs(spark, texts)).collect()}
+    assert len(want & got) >= 97 and not got - want
+
+
 def test_short_passages_near_the_similarity_are_found(spark):
     """Passages of 54 words of which one is changed: one shared minimum is enough to compare two documents."""
     rng = random.Random(13)
@@ -327,3 +445,35 @@ def test_passages_with_words_inserted_are_found_whole(spark):
     missed = {(i + 1, i) for i in range(0, 80, 2)} - set(got)
     assert not missed, f"{len(missed)} of 40"
     assert all(r.end_word - r.first_word >= 97 and r.similarity >= 0.8 for r in got.values())
+
+
+CLASH = "doc_id long, text string, doc__key long, Key_ string, hash_ long, RANK_ int, gone_ int, `a.b` int, spans_ int"
+
+
+def clashing(spark, texts):
+    return spark.createDataFrame([(i, t, 777 + i, "k", 5, 6, 7, 8, 9) for i, t in enumerate(texts)], CLASH)
+
+
+def test_columns_of_clashing_names_stay_as_they_are(spark):
+    rng = random.Random(21)
+    texts = [f"{prose(rng, 60)}\n{prose(rng, 20)}" for _ in range(3)]
+    for drop in (simhash.drop_near_duplicates, line_dedup.drop_repeated_lines, substring_dedup.drop_repeated_passages):
+        frame = clashing(spark, texts)
+        got = sorted(drop(frame).collect(), key=lambda r: r.doc_id)
+        assert got == sorted(frame.collect(), key=lambda r: r.doc_id)
+        twice = drop(clashing(spark, [*texts, texts[0]])).columns
+        assert twice == frame.columns
+
+
+def test_texts_that_are_not_utf8(spark):
+    """Bytes 80 FF in a string: nothing crashes, and untouched texts keep their bytes."""
+    raw = "unhex(concat('80FF', hex(text)))"
+    rng = random.Random(22)
+    frame = docs(spark, [prose(rng, 60), prose(rng, 70), "", None]).withColumn("text", F.expr(f"if(text is null, null, cast({raw} as string))"))
+    want = sorted(((r.doc_id, r.h) for r in frame.selectExpr("doc_id", "hex(text) h").collect()), key=repr)
+    for drop in (simhash.drop_near_duplicates, line_dedup.drop_repeated_lines, substring_dedup.drop_repeated_passages):
+        assert sorted(((r.doc_id, r.h) for r in drop(frame).selectExpr("doc_id", "hex(text) h").collect()), key=repr) == want
+    assert simhash.simhash_groups(frame).count() == 4
+    again = frame.unionAll(frame.selectExpr("doc_id + 10", "text", "lang", "node", "key"))
+    cut = substring_dedup.drop_repeated_passages(again).selectExpr("doc_id", "hex(text) h").collect()
+    assert {r.doc_id: r.h for r in cut}[10] == ""
