@@ -22,7 +22,16 @@ def normal(text: str | None) -> str:
 
 def similarity(a: str | None, b: str | None) -> float:
     """0 to 1: equal texts 1, one within the other at half its length 0.9, else matching characters and words."""
-    a, b = normal(a), normal(b)
+    return _similarity(normal(a), normal(b), 0.0)
+
+
+def alike(a: str | None, b: str | None, least: float) -> bool:
+    """Whether the similarity is at least ``least``; characters are only matched as far as they can decide it."""
+    return _similarity(normal(a), normal(b), least) >= least
+
+
+def _similarity(a: str, b: str, least: float) -> float:
+    """The similarity of normal texts, or a bound of it that is below ``least``."""
     if not a or not b:
         return 0.0
     if a == b:
@@ -31,7 +40,13 @@ def similarity(a: str | None, b: str | None) -> float:
     if short in long and 2 * len(short) >= len(long):
         return 0.9
     x, y = set(a.split()), set(b.split())
-    return CHARACTERS * difflib.SequenceMatcher(None, a, b).ratio() + WORDS * len(x & y) / len(x | y)
+    words = WORDS * len(x & y) / len(x | y)
+    matcher = difflib.SequenceMatcher(None, a, b)
+    for ratio in (matcher.real_quick_ratio, matcher.quick_ratio, matcher.ratio):
+        score = CHARACTERS * ratio() + words
+        if score < least:
+            break
+    return score
 
 
 def same_utterance(a, b) -> bool:
@@ -45,7 +60,7 @@ def same_utterance(a, b) -> bool:
     least = min(len(set(x)), len(set(y)))
     if least >= 3 and len(set(x) & set(y)) >= 0.65 * least:
         return True
-    return similarity(a.text, b.text) >= ALIKE
+    return alike(a.text, b.text, ALIKE)
 
 
 def worth(row) -> float:
@@ -79,7 +94,7 @@ def novel(pdf: pd.DataFrame, kept: list[Heard]) -> tuple[list, list[Heard]]:
     for r in pdf.sort_values(["start_s", "end_s"], kind="stable").itertuples():
         kept = [k for k in kept if r.start_s - k.end_s < KEEP_S]
         near = [k for k in kept if min(k.end_s, r.end_s) > max(k.start_s, r.start_s) or abs(k.start_s - r.start_s) <= SAME_START]
-        if not any(similarity(r.text, k.text) >= SUPPRESS for k in near):
+        if not any(alike(r.text, k.text, SUPPRESS) for k in near):
             out.append(r.Index)
             kept = [*kept, Heard(r.text, float(r.start_s), float(r.end_s))]
     return out, kept

@@ -74,3 +74,12 @@ def test_common_words_in_order_equal_the_table():
                 new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
             row = new
         assert evaluate.common_length(a, b) == row[-1]
+
+
+def test_bounds_decide_like_the_similarity():
+    rng = np.random.default_rng(7)
+    words = "one two three four five six seven".split()
+    for _ in range(400):
+        a, b = (" ".join(words[k] for k in rng.integers(0, 7, rng.integers(0, 9))) for _ in range(2))
+        for least in (0.3, duplicates.ALIKE, duplicates.SUPPRESS, 0.9, 1.0):
+            assert duplicates.alike(a, b, least) == (duplicates.similarity(a, b) >= least)
