@@ -84,6 +84,8 @@ OTHER = (
 _WORD = re.compile(rb"[a-z0-9]+(?:[-.][a-z0-9]+)*")
 #: Least calibrated probability, and least share of n-grams in common with a template.
 LEAST_PROBABILITY, LEAST_OVERLAP = 0.5, 0.6
+#: Least share of the word pairs of several lines that templates of one family have, for the lines to be one paragraph.
+LEAST_PURITY = 0.8
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -141,6 +143,11 @@ class LicenseModel:
             return 0.0
         return max((max(len(own & t) / len(t), len(own & t) / len(own) if len(own) >= 4 else 0.0) for t in self.template_pairs[family]), default=0.0)
 
+    def purity(self, words: list[bytes], family: str) -> float:
+        """The share of the paragraph's word pairs that some template of the family has."""
+        own = _pairs(words)
+        return len(own & frozenset().union(*self.template_pairs[self.families.index(family)])) / max(1, len(own))
+
 
 def _pairs(words: list[bytes]) -> frozenset[bytes]:
     return frozenset(a + b" " + b for a, b in zip(words, words[1:], strict=False))
@@ -214,8 +221,8 @@ def scan(df: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col: s
 
     Lines are what newlines part, numbered from 0.  Neighbouring lines that
     hold a word pair of some template are a run.  A run that is a notice as a
-    whole is one paragraph, so a hard-wrapped licence is judged whole;
-    otherwise, and if lines of it are notices of several families, each of its
+    whole, nearly all of whose word pairs templates of that family have, is one
+    paragraph, so a hard-wrapped licence is judged whole; otherwise each of its
     lines is a paragraph.  ``paragraph`` and ``last`` are its first and last
     line.  A paragraph is a notice if a family is likelier than any other and
     the unknown class, by at least ``least_probability``, and it shares
@@ -255,7 +262,7 @@ def scan(df: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col: s
                 rows: list[tuple[int, int, int, str, float, float]] = []
                 for a, b in zip(edges, [*edges[1:], len(found)], strict=True):
                     all_ = whole.get((a, b))
-                    if all_ and {s[0] for s in single[a:b] if s} <= {all_[0]}:
+                    if all_ and own.purity([w for f in found[a:b] for w in f[2]], all_[0]) >= LEAST_PURITY:
                         rows.append((found[a][0], found[a][1], found[b - 1][1], *all_))
                     else:
                         rows += [(found[k][0], found[k][1], found[k][1], *single[k]) for k in range(a, b) if single[k]]
