@@ -418,6 +418,66 @@ def test_a_first_document_that_quotes_hides_no_copies(spark, monkeypatch, group)
     assert len(want & got) >= 97 and not got - want
 
 
+def test_copies_in_far_blocks_of_a_large_group_meet(spark):
+    """One minimum with the same twelve shingles to either side in 300 documents; what else is around it two each have, 150 places apart."""
+    rng = np.random.default_rng(31)
+    around = rng.integers(1, 1 << 16, (150, 91)).astype(np.uint16)
+    around[:, 33:58] = np.arange(1, 26)
+    rows = [(7, d, 100 << 32 | 45 << 15 | 45, around[d % 150].tobytes()) for d in range(300)]
+    rows += [(8, d, 100 << 32 | 45 << 15 | 45, around[d].tobytes()) for d in range(50)]
+    frame = spark.createDataFrame(rows, "key long, doc long, spot long, around binary").repartition(5)
+    got = substring_dedup._compared(frame, Scratch(spark), 46, 16).collect()
+    assert sorted((r.key, r.doc, r.other) for r in got) == [(7, d, d + 150) for d in range(150)]
+
+
+def test_an_index_of_surroundings_finds_what_all_pairs_do():
+    """Rows with 23 shingles in common, some with a few more, and long runs of one shingle: each that is alike an earlier one finds one."""
+    rng = np.random.default_rng(33)
+    around = rng.integers(1, 1 << 16, (600, 91)).astype(np.uint16)
+    around[:, 34:57] = np.arange(1, 24)
+    for i in range(300, 600):
+        near, n = rng.integers(300), rng.integers(9)
+        around[i, 57 : 57 + n] = around[near, 57 : 57 + n]
+        if i % 10 == 0:
+            around[i, 20:60], around[i, :3] = 40 + i % 3, 0
+    doc = np.sort(rng.integers(0, 590, 600))
+    cols = {"doc": doc, "spot": (100 + np.arange(600) * 5) << 32, "around": around}
+    place, want = cols["spot"] >> 32, {}
+    for i in range(600):
+        far = np.flatnonzero((doc[:i] != doc[i]) | (place[i] - place[:i] >= 46))
+        alike = far[substring_dedup._alike(around, far, np.full(len(far), i), 46)]
+        if len(alike):
+            want[i] = set(alike.tolist())
+    hits = [(i, j) for i, s in want.items() for j in s if j != min(s)]
+    assert 100 < len(want) < 500 and hits
+    for got in (substring_dedup._first_by_index(cols, np.arange(600), 46), substring_dedup._first_alike(cols, np.arange(600), 46)):
+        assert dict(zip(*(x.tolist() for x in got), strict=True)) == {i: min(s) for i, s in want.items()}
+    got = dict(zip(*(x.tolist() for x in substring_dedup._earlier_alike(cols, np.arange(600), 46)), strict=True))
+    assert set(got) == set(want) and all(j in want[i] for i, j in got.items())
+    x, y = (rng.integers(1, 300, (200, 91)).astype(np.uint16) for _ in range(2))
+    both, k = np.concatenate([x, y]), np.arange(200)
+    hit = [[v in set(a.tolist()) for v in b.tolist()] for a, b in zip(x, y, strict=True)]
+    assert substring_dedup._alike(both, k, k + 200, 46).tolist() == [max(sum(h[i : i + 46]) for i in range(46)) >= 28 for h in hit]
+
+
+def test_spots_of_repeated_words_are_thinned_but_cover_all():
+    """Within a long run of a word some minima stand for all; near its ends, and where nothing repeats, each is kept."""
+    rng = random.Random(32)
+    texts = [f"{prose(rng, 100)} {' '.join(['same'] * 600)} {prose(rng, 100)}", prose(rng, 300), " ".join(["one two"] * 200)]
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1, 2]), pa.array([t.encode() for t in texts])], names=["doc", "text"])
+    got = next(substring_dedup._windows(5, 46)(iter([batch]))).to_pydict()
+    for doc, text in enumerate(texts):
+        h = substring_dedup.sequence(text.encode())
+        for k in range(substring_dedup.HASHES):
+            mixed = substring_dedup.mix(h ^ np.uint64(k * 0xD1342543DE82EF95 & (2**64 - 1)))
+            all_ = substring_dedup.sliding_minima(mixed, 46).tolist()
+            mine = [(s >> 32) for d, s in zip(got["doc"], got["spot"], strict=True) if d == doc and s >> 30 & 3 == k]
+            around = lambda p: h[max(0, p - 45) : p + 46].tolist()
+            assert set(mine) <= set(all_) and (doc != 1 or mine == all_) and (doc == 1 or len(mine) < len(all_) / 2)
+            for p in set(all_) - set(mine):
+                assert any(abs(p - q) <= 9 and around(p) == around(q) for q in mine)
+
+
 def test_short_passages_near_the_similarity_are_found(spark):
     """Passages of 54 words of which one is changed: one shared minimum is enough to compare two documents."""
     rng = random.Random(13)
